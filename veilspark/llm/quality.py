@@ -46,13 +46,15 @@ BOILERPLATE = (
     "powered by",
     "copyright ©",
     "copyright (c)",
-    "licensed under",
     "skip to content",
 )
 
-#: Punctuation that counts as symbols in the base columns.
+#: Punctuation that counts as symbols in the base columns and in lines.
 SYMBOL_CLASS = "[#*$%&|<>]"
 
+#: A line fails with at least so many symbols if they are more than this percentage of its words.
+LEAST_SYMBOLS, SYMBOL_PERCENT = 3, 50
+
 BOILERPLATE_PATTERN = "(" + "|".join(p.replace("(", "[(]").replace(")", "[)]") for p in BOILERPLATE) + ")"
 
 #: Letters with their marks, and characters that are not white space: a line with fewer letters than other such characters is punctuation.
@@ -72,7 +74,9 @@ def line_fails(line: Column) -> Column:
     navigation = (separators >= SEPARATORS) & (n <= WORDS_PER_SEPARATOR * (separators + 1))
     boilerplate = F.lower(line).rlike(BOILERPLATE_PATTERN)
     punctuation = 2 * F.regexp_count(line, F.lit(LETTERS)) < F.regexp_count(line, F.lit(FILLED))
-    return navigation | boilerplate | punctuation
+    symbols = F.regexp_count(line, F.lit(SYMBOL_CLASS))
+    noisy = (symbols >= LEAST_SYMBOLS) & (100 * symbols > SYMBOL_PERCENT * n)
+    return navigation | boilerplate | punctuation | noisy
 
 
 def quality_rules(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -155,11 +159,12 @@ r AS (SELECT rid, i FROM g QUALIFY count(*) OVER (PARTITION BY rid, win) > 1),
 rep AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest([i, i + 1, i + 2, i + 3, i + 4]) AS p FROM r) GROUP BY rid),
 l AS (
   SELECT rid, line, len(regexp_extract_all(line, '{SEPARATOR_CLASS}')) AS seps, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS nw,
-         len(regexp_extract_all(line, '[\p{{L}}\p{{M}}]')) AS letters, length(regexp_replace(line, '[\x20\x09-\x0D]+', '', 'g')) AS filled
+         len(regexp_extract_all(line, '[\p{{L}}\p{{M}}]')) AS letters, len(regexp_extract_all(line, '{SYMBOL_CLASS}')) AS syms, length(regexp_replace(line, '[\x20\x09-\x0D]+', '', 'g')) AS filled
   FROM (SELECT rid, unnest(string_split(t, chr(10))) AS line FROM d)
 ),
 v AS (
-  SELECT *, (seps >= {SEPARATORS} AND nw <= {WORDS_PER_SEPARATOR} * (seps + 1)) OR regexp_matches(lower(line), '{BOILERPLATE_PATTERN}') OR 2 * letters < filled AS bad
+  SELECT *, (seps >= {SEPARATORS} AND nw <= {WORDS_PER_SEPARATOR} * (seps + 1)) OR regexp_matches(lower(line), '{BOILERPLATE_PATTERN}') OR 2 * letters < filled
+         OR (syms >= {LEAST_SYMBOLS} AND 100 * syms > {SYMBOL_PERCENT} * nw) AS bad
   FROM l WHERE nw > 0
 ),
 k AS (
