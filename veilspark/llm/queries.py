@@ -8,6 +8,7 @@ from .exact_dedup import op1_exact_dedup
 from .packing import op3_best_fit_packing
 from .quality import ORACLE as QUALITY_ORACLE
 from .quality import op9_quality_rules
+from .simhash import op7_simhash
 from .token_counts import op4_token_counts
 from .token_files import op5_token_files
 
@@ -18,6 +19,7 @@ QUERIES = {
         op3_best_fit_packing,
         op4_token_counts,
         op5_token_files,
+        op7_simhash,
         op9_quality_rules,
         op10_byte_bpe,
     )
