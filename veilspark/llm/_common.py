@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -81,7 +82,7 @@ def chunks_of(batches, text: str, chunk_bytes: int = CHUNK_BYTES):
     held, size = [], 0
     for batch in batches:
         column = batch.column(batch.schema.get_field_index(text))
-        sizes = pa.compute.binary_length(column).fill_null(0).to_pylist()
+        sizes = pc.binary_length(column).fill_null(0).to_pylist()
         start = 0
         for i, n in enumerate(sizes):
             size += n + 64
@@ -119,3 +120,19 @@ def chunked(docs: DataFrame, text: str, chunk_bytes: int = CHUNK_BYTES) -> DataF
 def whole_text(text: str):
     """Null counts as empty."""
     return F.coalesce(F.col(text), F.lit(""))
+
+
+def by_chunk(chunks: DataFrame, messages: DataFrame, answer, schema: str) -> DataFrame:
+    """Meets each chunk with its messages (column chunk); answer(chunk number, documents, messages) gives a table of the schema."""
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            raise ValueError("messages for a chunk that is not there")
+        return answer(left.column("chunk")[0].as_py(), unpack_table(left.column("blob")[0].as_py()), right)
+
+    return chunks.groupBy("chunk").cogroup(messages.groupBy("chunk")).applyInArrow(meet, schema)
+
+
+def ddl(df: DataFrame, *added: str) -> str:
+    """Schema string of df's columns and those added."""
+    return ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), *added])

@@ -14,6 +14,7 @@ import hashlib
 import heapq
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from ._common import documents, text_bytes
@@ -212,7 +213,7 @@ def _map(docs, text_col, rank_file, pattern, added):
         enc = replayer(rank_file, pattern)
         for whole in batches:
             at = whole.schema.get_field_index(text_col)
-            sizes = pa.compute.binary_length(whole.column(at)).fill_null(0).to_pylist()
+            sizes = pc.binary_length(whole.column(at)).fill_null(0).to_pylist()
             start = size = 0
             for i, n in enumerate([*sizes, None]):
                 if n is not None:

@@ -9,6 +9,7 @@ from .packing import op3_best_fit_packing
 from .quality import ORACLE as QUALITY_ORACLE
 from .quality import op9_quality_rules
 from .simhash import op7_simhash
+from .suffix_dedup import op2_suffix_dedup
 from .token_counts import op4_token_counts
 from .token_files import op5_token_files
 
@@ -16,6 +17,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_exact_dedup,
+        op2_suffix_dedup,
         op3_best_fit_packing,
         op4_token_counts,
         op5_token_files,
