@@ -12,6 +12,8 @@ from .simhash import op7_simhash
 from .suffix_dedup import op2_suffix_dedup
 from .token_counts import op4_token_counts
 from .token_files import op5_token_files
+from .window_dedup import ORACLE as WINDOW_ORACLE
+from .window_dedup import op6_window_dedup
 
 QUERIES = {
     f.__name__: f
@@ -21,6 +23,7 @@ QUERIES = {
         op3_best_fit_packing,
         op4_token_counts,
         op5_token_files,
+        op6_window_dedup,
         op7_simhash,
         op9_quality_rules,
         op10_byte_bpe,
@@ -29,5 +32,6 @@ QUERIES = {
 
 ORACLES = {
     "op1_exact_dedup": EXACT_ORACLE,
+    "op6_window_dedup": WINDOW_ORACLE,
     "op9_quality_rules": QUALITY_ORACLE,
 }
