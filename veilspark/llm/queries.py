@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .byte_bpe import op10_byte_bpe
+from .context_tree import op8_lm_scoring
 from .exact_dedup import ORACLE as EXACT_ORACLE
 from .exact_dedup import op1_exact_dedup
 from .packing import op3_best_fit_packing
@@ -25,6 +26,7 @@ QUERIES = {
         op5_token_files,
         op6_window_dedup,
         op7_simhash,
+        op8_lm_scoring,
         op9_quality_rules,
         op10_byte_bpe,
     )
