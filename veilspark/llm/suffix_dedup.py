@@ -306,6 +306,11 @@ def suffix_dedup(docs: DataFrame, text_col: str = "text", length: int = LENGTH,
     return _removed(docs, text_col, length, bucket_rows, ("kept_bytes", "binary", pa.binary(), bytes))
 
 
+def suffix_dedup_text(docs: DataFrame, text_col: str = "text", length: int = LENGTH, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """As suffix_dedup(), with kept_text (string) in place of the bytes; what a cut leaves of a character is dropped."""
+    return _removed(docs, text_col, length, bucket_rows, ("kept_text", "string", pa.string(), lambda x: bytes(x).decode("utf-8", "ignore")))
+
+
 def op2_suffix_dedup(spark, sf_dir) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     out = _removed(docs, "text", LENGTH, BUCKET_ROWS, ("kept_sha256", "string", pa.string(), lambda x: hashlib.sha256(x).hexdigest()))
