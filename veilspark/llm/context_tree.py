@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ._common import by_chunk, chunked, cut, ddl, documents, free_name, stored, text_bytes, unpack_table
@@ -27,7 +28,7 @@ from ._common import by_chunk, chunked, cut, ddl, documents, free_name, stored,
 DEPTH = 4
 
 #: Bytes of text in a chunk, positions that are looked at together.
-CHUNK_BYTES, BLOCK = 16 << 20, 1 << 22
+CHUNK_BYTES, BLOCK = 16 << 20, 1 << 20
 
 #: A byte that UTF-8 never has: before and after each text.
 EDGE = 0xFF
@@ -333,17 +334,18 @@ def lm_scores(docs: DataFrame, learn: str, text_col: str = "text", depth: int =
     told = stored(chunks.select("chunk", "blob").mapInArrow(gather, "chunk long, gram long, word binary, n long"))
     of_grams, of_words = told.where("gram is not null").select("chunk", "gram", "n"), told.where("word is not null").select("chunk", "word", "n")
     scored = gram_scores(cut(of_grams.groupBy("gram").agg(F.sum("n").alias("n"))), depth)
-    counts = cut(of_words.groupBy("word").agg(F.sum("n").alias("c")))
+    every = W.partitionBy("word")
+    counts = stored(of_words.select("chunk", "word", F.sum("n").over(every).alias("c"), (F.row_number().over(every.orderBy("chunk")) == 1).alias("once")))
     ends = docs.where(F.col(learn)).count()
-    total = counts.agg(F.sum("c").alias("n"), F.count_if(F.col("c") > 0).alias("v")).first()
+    total = counts.where("once").agg(F.sum("c").alias("n"), F.count_if(F.col("c") > 0).alias("v")).first()
     train, distinct = (total.n or 0) + ends, total.v + (ends > 0)
 
     back = of_grams.select("chunk", "gram").join(scored, "gram").select("chunk", "gram", F.lit(None).cast("binary").alias("word"), F.col("log_p").alias("value"))
-    back = back.union(of_words.select("chunk", "word").join(counts, "word").select("chunk", F.lit(None).cast("long").alias("gram"), "word", F.col("c").cast("double").alias("value")))
+    back = back.union(counts.select("chunk", F.lit(None).cast("long").alias("gram"), "word", F.col("c").cast("double").alias("value")))
 
     def finish(_: int, table: pa.Table, told: pa.Table) -> pa.Table:
         is_gram = told.column("gram").is_valid()
-        mine, value = told.filter(is_gram), told.column("value")
+        mine = told.filter(is_gram)
         texts = Texts(text_bytes(table.column(text_col)), depth)
         score = _sums(texts, mine.column("gram").to_numpy(), mine.column("value").to_numpy())
         some, words, at = _tokens(_column(table, text_col))
@@ -355,7 +357,6 @@ def lm_scores(docs: DataFrame, learn: str, text_col: str = "text", depth: int =
         base = np.bincount(text, per_word[at], len(some)) + end
         known = np.bincount(text, (c > 0)[at], len(some)).astype(np.int64) + (ends > 0)
         added = [pa.array(some.astype(np.int64) + 1), pa.array(known), pa.array(np.full(len(some), train, np.int64)), pa.array(base), pa.array(score), pa.array(-score / np.log10(2.0) / texts.sizes)]
-        del value
         return pa.table([*table.columns, *added], names=[*table.column_names, *names])
 
     kinds = ("bigint", "bigint", "bigint", "double", "double", "double")
