@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fields
-from ..functions.rules import AllowList, KeyResolver, Rule, compiled
+from ..functions.rules import AllowList, KeyResolver, Rule, compiled, python_pattern
 
 #: Rank of a value that its key names: before all patterns.
 KEYED = -1
@@ -45,18 +45,57 @@ class Settings:
     context_chars: int = 0
 
 
-def needed_text(source: str) -> tuple[str, ...]:
-    """Texts of which any match has one: the literal start of a pattern, if it has one outside classes and choices; () if none is known."""
-    body = source.removeprefix("(?:")
-    m = re.match(r"(?:\\b|\(\?<![^()]*\))*((?:[A-Za-z0-9_/:=-]|\\[./\\$])+)", body)
-    if not m:
+#: Sets of characters that a gate has at most; common letters tell nothing.
+GATES, COMMON = 3, frozenset("abcdefghijklmnopqrstuvwxyz ")
+
+
+def gates(source: str) -> tuple[frozenset[str], ...]:
+    """Sets of characters: a text that has a match has a character of each. Found in the parsed pattern; none where that is not plain."""
+    from re import _constants as C
+    from re import _parser as P
+
+    def chars(items) -> frozenset[str]:
+        out: set[str] = set()
+        for op, arg in items:
+            if op is C.LITERAL:
+                out.add(chr(arg))
+            elif op is C.RANGE and arg[1] - arg[0] < 64:
+                out.update(map(chr, range(arg[0], arg[1] + 1)))
+            elif op is C.CATEGORY and arg is C.CATEGORY_DIGIT:
+                out.update("0123456789")
+            else:
+                return frozenset()
+        return frozenset(out)
+
+    def walk(items) -> list[frozenset[str]]:
+        out = []
+        for op, arg in items:
+            if op is C.LITERAL:
+                out.append(frozenset(chr(arg)))
+            elif op is C.IN:
+                out.append(chars(arg))
+            elif op in (C.MAX_REPEAT, C.MIN_REPEAT) and arg[0]:
+                out += walk(arg[2])
+            elif op is C.SUBPATTERN:
+                out += walk(arg[3])
+            elif op is C.ASSERT:
+                out += walk(arg[1])
+            elif op is C.BRANCH:
+                each = [min(kept, key=cost, default=frozenset()) for kept in (list(filter(None, walk(a))) for a in arg[1])]
+                if all(each):
+                    out.append(frozenset().union(*each))
+        return [s for s in out if s]
+
+    def cost(s: frozenset[str]) -> tuple[int, int]:
+        return len(s & COMMON), len(s)
+
+    try:
+        tree = P.parse(python_pattern(source), re.ASCII)
+    except re.error:
         return ()
-    after, literal = body[m.end() :], m[1]
-    if after[:1] in ("*", "?", "{", "+"):
-        literal = literal[:-1]
-    if "|" in body or len(literal) < 2 or literal.endswith("\\"):
+    if tree.state.flags & re.IGNORECASE or "(?i" in source:
         return ()
-    return (literal.replace("\\", ""),) if "\\\\" not in literal else ()
+    return tuple(sorted({s for s in walk(tree) if not s & COMMON}, key=lambda s: (*cost(s), sorted(s)))[:GATES])
 
 
 class Scanner:
@@ -67,7 +106,7 @@ class Scanner:
         self.json = settings.json
         self.resolve = KeyResolver(list(settings.rules))
         self.rules = settings.rules
-        self.patterns = [(rank, k, compiled(p), needed_text(p), rule.validate) for rank, rule in enumerate(settings.rules) for k, p in enumerate(rule.patterns)]
+        self.patterns = [(rank, k, compiled(p), gates(p), rule.validate) for rank, rule in enumerate(settings.rules) for k, p in enumerate(rule.patterns)]
 
     def candidates(self, text: str) -> list[tuple]:
         out, spans = [], fields.keyed_pairs(text, self.resolve) if self.json else []
@@ -75,8 +114,9 @@ class Scanner:
         for start, stop, value, rule, quote in spans:
             out.append((start, KEYED, 0, stop, not self.allowed(self.rules[rule].id, value), rule, quote, value))
             shown = shown[:start] + " " * (stop - start) + shown[stop:]
+        has = set(shown)
         for rank, k, pattern, needs, check in self.patterns:
-            if needs and not any(n in shown for n in needs):
+            if any(n.isdisjoint(has) for n in needs):
                 continue
             at = 0
             group = 1 if pattern.groups == 1 else 0

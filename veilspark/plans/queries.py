@@ -82,7 +82,7 @@ def mail_replacements_merged(spark, sf_dir):
 
 def mail_allowlist(spark, sf_dir):
     """Mail addresses that an exempt list from a table leaves to redact: the list is joined, so it may be large."""
-    exempt = table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all("text", F.lit(r"\b([A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.com)\b"))).alias("original")).distinct()
+    exempt = table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all("text", F.lit(r"\b([a-m][A-Za-z0-9._%+-]*@[A-Za-z0-9.-]+\.[A-Za-z]{2,})"))).alias("original")).distinct()
     found = _mail_matches(spark, sf_dir).groupBy("original").agg(F.count("*").alias("n"))
     return found.join(exempt, "original", "left_anti")
 
@@ -222,7 +222,7 @@ ORACLES: dict[str, str] = {
     "ip_first_three": f"{_IPS}, f AS (SELECT ip, count(*) AS n, min((doc_id, line_no)) AS first FROM m GROUP BY ip) SELECT 'ips' AS rule_id, ip AS original, n FROM f ORDER BY first LIMIT 3",
     "mail_lines": f"{_MAILS} SELECT doc_id, line_no::BIGINT AS line_no, count(*) AS n, string_agg(mail, '|' ORDER BY seq) AS found FROM m GROUP BY ALL",
     "mail_replacements_merged": f"{_MAILS} SELECT mail AS original, {_token('users', 'USER', 'mail')} AS replacement, count(*) AS n, min(doc_id) AS first_doc FROM m GROUP BY mail",
-    "mail_allowlist": rf"{_MAILS} SELECT mail AS original, count(*) AS n FROM m WHERE mail NOT IN (SELECT unnest(regexp_extract_all(text, '\b([A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+[.]com)\b', 1)) FROM documents WHERE text IS NOT NULL) GROUP BY mail",
+    "mail_allowlist": rf"{_MAILS} SELECT mail AS original, count(*) AS n FROM m WHERE mail NOT IN (SELECT unnest(regexp_extract_all(text, '\b([a-m][A-Za-z0-9._%+-]*@[A-Za-z0-9.-]+[.][A-Za-z]{{2,}})', 1)) FROM documents WHERE text IS NOT NULL) GROUP BY mail",
     "source_tokens": f"SELECT doc_id, source AS original, CASE WHEN source IN ('', '-') THEN source ELSE {_token('hosts', 'HOST', 'source')} END AS hostname FROM documents",
     "customer_columns": f"SELECT c_custkey, {_token('users', 'USER', 'c_name')} AS customer_name, c_custkey::VARCHAR AS customer_id FROM customer",
     "native_tokens": f"SELECT doc_id, {_token('ips', 'IP', 'source')} AS token FROM documents",
