@@ -55,10 +55,13 @@ SYMBOL_CLASS = "[#*$%&|<>]"
 #: A line fails with at least so many symbols if they are more than this percentage of its words.
 LEAST_SYMBOLS, SYMBOL_PERCENT = 3, 50
 
+#: The class of first letters spares most places the choice.
+FIRST_LETTERS = "(?=[" + "".join(sorted({p[0] for p in BOILERPLATE})) + "])"
+
 BOILERPLATE_PATTERN = "(" + "|".join(p.replace("(", "[(]").replace(")", "[)]") for p in BOILERPLATE) + ")"
 
-#: Letters with their marks, and characters that are not white space: a line with fewer letters than other such characters is punctuation.
-LETTERS, FILLED = r"[\p{L}\p{M}]", r"[^\x20\x09-\x0D]"
+#: Runs of letters with their marks, and characters that are not white space: a line with fewer letters than other such characters is punctuation.
+LETTERS, FILLED = r"[a-zA-Z\p{L}\p{M}]+", r"[^\x20\x09-\x0D]"
 
 
 def _words_of(text: Column) -> Column:
@@ -72,8 +75,9 @@ def line_fails(line: Column) -> Column:
     n = F.length(words) - F.length(F.translate(words, " ", "")) + 1
     separators = F.regexp_count(line, F.lit(SEPARATOR_CLASS))
     navigation = (separators >= SEPARATORS) & (n <= WORDS_PER_SEPARATOR * (separators + 1))
-    boilerplate = F.lower(line).rlike(BOILERPLATE_PATTERN)
-    punctuation = 2 * F.regexp_count(line, F.lit(LETTERS)) < F.regexp_count(line, F.lit(FILLED))
+    boilerplate = F.lower(line).rlike(FIRST_LETTERS + BOILERPLATE_PATTERN)
+    letters, filled = F.length(line) - F.length(F.regexp_replace(line, LETTERS, "")), F.length(F.regexp_replace(line, WS, ""))
+    punctuation = 2 * letters < filled
     symbols = F.regexp_count(line, F.lit(SYMBOL_CLASS))
     noisy = (symbols >= LEAST_SYMBOLS) & (100 * symbols > SYMBOL_PERCENT * n)
     return navigation | boilerplate | punctuation | noisy
