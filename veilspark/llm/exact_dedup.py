@@ -17,9 +17,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import WS, documents, free_name, whole_text
+from .word_ids import slices
 
 #: Bytes of labels that a task's own trie may hold before its heaviest subtrees are emitted.
-TRIE_BYTES = 48 << 20
+TRIE_BYTES = 12 << 20
 
 
 class Patricia:
@@ -121,10 +122,11 @@ def _combine(batches):
     def rows():
         trie = Patricia()
         for batch in batches:
-            for hashed, text, ident in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                trie.insert(text, ident, 1, hashed)
-            if trie.size > TRIE_BYTES:
-                yield from trie.spill(TRIE_BYTES // 2)
+            for part in slices(batch, "text", 2 << 20):
+                for hashed, text, ident in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
+                    trie.insert(text, ident, 1, hashed)
+                if trie.size > TRIE_BYTES:
+                    yield from trie.spill(TRIE_BYTES // 2)
         yield from trie.items()
 
     yield from _batched((len(key), hashed, key, ident, n) for key, ident, n, hashed in rows())
@@ -133,9 +135,8 @@ def _combine(batches):
 def _own(batches):
     """Strings in the order of (size, hash): one trie for each, freed when the next begins."""
     trie, at, held = Patricia(), None, []
-    for batch in batches:
-        columns = [batch.column(i).to_pylist() for i in range(5)]
-        for size, hashed, text, least, n in zip(*columns, strict=True):
+    for part in (part for batch in batches for part in slices(batch, "text", 2 << 20)):
+        for size, hashed, text, least, n in zip(*(part.column(i).to_pylist() for i in range(5)), strict=True):
             if (size, hashed) != at:
                 held.extend((hashlib.sha256(k).digest(), i, c) for k, i, c, _ in trie.items())
                 trie, at = Patricia(), (size, hashed)
