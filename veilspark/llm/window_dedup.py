@@ -111,6 +111,8 @@ def _message(number: int, hashes: np.ndarray, docs: np.ndarray) -> pa.Table:
     h, d = hashes[order], docs[order]
     head = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, np.int64)
     tail = np.append(head[1:], len(h)) - 1 if len(h) else head
+    by_doc = np.argsort(d[head], kind="stable")  # neighbours are alike but for the hash, so a shuffle packs them better
+    head, tail = head[by_doc], tail[by_doc]
     return pa.table({"chunk": pa.array(np.full(len(head), number, np.int64)), "h": pa.array(h[head].view(np.int64)), "lo": pa.array(d[head]), "hi": pa.array(d[tail])})
 
 
