@@ -35,17 +35,34 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _with_text(judged.where(F.col(kept) & (F.col(row) >= 0)), cleaned, docs.columns)
 
 
+def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs as a table with a number for each row, and its column: identifiers may be null or repeat."""
+    row = free_name(docs, "__row")
+    return stored(docs.withColumn(row, F.monotonically_increasing_id())), row
+
+
+def _first_rows(numbered: DataFrame, row: str, groups: DataFrame, columns: list[str]) -> DataFrame:
+    """Of each group (rows group_of, doc_id, row), the one row with the smallest doc_id; nulls are larger, ties go to the first row."""
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col(row).alias("row"))
+    stay = groups.groupBy("group_of").agg(F.min(place).alias("first")).select(F.col("first.row").alias("stays"))
+    return numbered.join(stay, F.col(row) == F.col("stays"), "left_semi").select(*columns)
+
+
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the row with the smallest doc_id."""
+    """Of equal texts, one row: that with the smallest doc_id."""
     ship(spark)
-    return exact_dedup(docs).where(F.col(free_name(docs, "kept"))).select(*docs.columns)
+    numbered, row = _numbered(docs)
+    found = exact_dedup(numbered.select(row, "doc_id", "text")).where("kept")
+    return _first_rows(numbered, row, found.select(F.col("text_sha256").alias("group_of"), "doc_id", row), docs.columns)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that fingerprints link, the one with the smallest doc_id."""
+    """Of documents that fingerprints link, one row: that with the smallest doc_id."""
     ship(spark)
-    stay = simhash_components(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("stays")).distinct()
-    return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("stays")), "left_semi")
+    numbered, row = _numbered(docs)
+    found = simhash_components(numbered, id_col=row).select(F.col("doc_id").alias("k"), F.col("component_id").alias("group_of"))
+    found = numbered.select(row, "doc_id").join(found, F.col(row) == F.col("k"))
+    return _first_rows(numbered, row, found.select("group_of", "doc_id", row), docs.columns)
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

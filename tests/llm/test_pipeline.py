@@ -83,3 +83,23 @@ def test_run_and_empty(spark, documents):
     for _, stage in P.STAGES:
         docs = P.stored(stage(spark, docs, SF))
     assert docs.count() == 0
+
+
+def test_repeated_rows_and_null_ids_leave_one_whole_copy(spark):
+    """Rows that repeat an identifier, or have none, must not meet their own copies in the substring stage."""
+    words = lambda k: " ".join(f"w{k}x{i}" for i in range(80))
+    near = words(4) + " " + words(5) + " " + words(6)
+    rows = [
+        (7, words(0)), (7, words(0)), (7, words(0)),  # a replayed row
+        (None, words(1)), (None, words(1)),  # null ids alone
+        (None, words(2)), (9, words(2)), (9, words(2).replace(" ", "  ")), (8, words(2)),  # the smallest of all
+        (11, words(3)), (11, words(7)),  # one id, two texts
+        (None, near), (None, near.upper()),  # linked by fingerprints, unequal
+        (13, words(8)), (13, words(8).upper()),
+    ]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    for stage in (P.exact, P.near, P.substrings):
+        docs = P.stored(stage(spark, docs, SF))
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+    got = sorted((r.doc_id or 0, r.text.lower()) for r in docs.collect())
+    assert got == sorted([(7, words(0)), (0, words(1)), (8, words(2)), (11, words(3)), (11, words(7)), (0, near), (13, words(8))])
