@@ -60,6 +60,19 @@ def test_resynchronised_chunks(chunk, overlap):
         assert counter.count(text, chunk, overlap) == len(library.encode(text)), repr(text)
 
 
+def test_space_marks_in_texts():
+    import sentencepiece
+
+    from veilspark.llm.token_counts import PieceCounter
+
+    counter = PieceCounter(P.path("piece_bpe_32k.model"))
+    library = sentencepiece.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model"))
+    draw = random.Random(4)
+    texts = ["▁ ▁ a", "▁", " ▁", "▁ ", "a▁ b"] + ["".join(draw.choice(["▁", " ", "▁▁", "the", "é", "\n", "▂", "█", "x"]) for _ in range(draw.randrange(60))) for _ in range(300)]
+    for text in texts:
+        assert counter.count(text) == counter.count(text, 16, 2) == len(library.encode(text)), repr(text)
+
+
 def test_byte_bpe(spark):
     import base64
     import hashlib
