@@ -73,6 +73,37 @@ def test_space_marks_in_texts():
         assert counter.count(text) == counter.count(text, 16, 2) == len(library.encode(text)), repr(text)
 
 
+def test_chunks_have_the_boundaries_of_the_encoder(monkeypatch):
+    import sentencepiece
+
+    from veilspark.llm.token_counts import PieceCounter
+
+    counter = PieceCounter(P.path("piece_bpe_32k.model"))
+    library = sentencepiece.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model"))
+    text = " resynchronisation of 日本語 tokens, naïvely  counted"
+    places = np.cumsum([0, *(len(p) for p in library.encode(text[1:], out_type=str))])[:-1]
+    assert list(counter.chunk(text, 0, len(text))) == places.tolist()
+
+    seen, chunk = [], PieceCounter.chunk
+    monkeypatch.setattr(PieceCounter, "chunk", lambda self, t, a, b: (seen.append((a, b)), chunk(self, t, a, b))[1])
+    text = ("the quick brown foxes " * 40 + "x" * 700) * 3
+    assert counter.count(text, 400, 50) == len(library.encode(text))
+    assert len(seen) > 5 and all(b > c for (_, b), (c, _) in zip(seen, seen[1:], strict=False))
+
+    # A boundary that only one chunk has is no place to splice at: the overlap is widened.
+    hidden = []
+    def without_some(self, t, a, b):
+        offsets = chunk(self, t, a, b)
+        if a and len(hidden) < 3:
+            hidden.append(a)
+            return offsets[(offsets < a + 1) | (offsets >= b - 5)]
+        return offsets
+    monkeypatch.setattr(PieceCounter, "chunk", without_some)
+    text = "the quick brown foxes " * 200
+    assert counter.count(text, 400, 50) == len(library.encode(text))
+    assert len(hidden) == 3
+
+
 def test_byte_bpe(spark):
     import base64
     import hashlib

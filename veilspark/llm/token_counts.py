@@ -4,7 +4,9 @@ A huge document is encoded in chunks that overlap. Each chunk's encoder gives it
 boundaries with their offsets; two chunks are spliced at a boundary that both have in
 the overlap and that is proven stable: before a run of spaces after another character,
 which no piece of the vocabulary and so no merge covers. Where the overlap has no such
-boundary it is widened, to the rest of the document if need be.
+boundary it is widened, and a chunk without one is lengthened, to the rest of the
+document if need be. A text of one chunk is counted by the units between its stable
+boundaries, whose counts a worker keeps.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ from __future__ import annotations
 import functools
 import re
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -57,17 +60,19 @@ class PieceCounter:
                 del kept[u]
         return out
 
-    def chunk(self, text: str, start: int, stop: int) -> tuple[list[int], list[int]]:
-        """Offsets of the stable boundaries in text[start:stop], and the tokens before each."""
-        spans = [m.span() for m in UNIT.finditer(text, start, stop)]
-        offsets, counts = [], [0]
-        for a, _ in spans:
-            offsets.append(a)
-        if spans:
-            for n in self.units([text[a:b] for a, b in spans]):
-                counts.append(counts[-1] + n)
-            offsets.append(spans[-1][1])
-        return offsets, counts
+    def chunk(self, text: str, start: int, stop: int) -> np.ndarray:
+        """Where the encoder's tokens of text[start:stop] begin; a first space is the mark that the library puts before a text."""
+        first = start + (text[start] == " ")
+        part = text[first:stop]
+        if not part:
+            return np.array([start])
+        pieces = self.library.encode(part, return_type="proto").pieces
+        begins = np.fromiter((p.begin for p in pieces), np.int64, len(pieces))  # in bytes
+        if not part.isascii():
+            begins = (np.cumsum((np.frombuffer(part.encode(), np.uint8) & 0xC0) != 0x80) - 1)[begins]
+        begins += first
+        begins[0] = start
+        return begins
 
     def count(self, text: str, chunk: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS) -> int:
         """Tokens of one text."""
@@ -78,26 +83,27 @@ class PieceCounter:
         text = text.replace("▁", " ")
         marked = " " + text  # the mark that the library puts before it
         end = len(marked)
+        if end <= chunk:
+            return sum(self.units(UNIT.findall(marked)))
         at = total = 0  # tokens of marked[:at] are counted; at is a stable boundary
-        while at < end:
-            stop = min(end, at + chunk)
-            wide = overlap
-            while True:
-                offsets, counts = self.chunk(marked, at, stop)
-                if stop == end:
-                    return total + counts[-1]
-                tail = max(at, stop - wide)
-                again, _ = self.chunk(marked, tail, min(end, tail + chunk))
-                # The first chunk's last boundary is its cut end, the second's first may be inside a run of spaces.
-                ours = {o: n for o, n in zip(offsets[:-1], counts, strict=False)}
-                splice = next((o for o in reversed(again[:-1]) if o > at and o in ours and marked[o - 1] != " "), None)
-                if splice is not None:
-                    total, at = total + ours[splice], splice
-                    break
-                if tail > at:
-                    wide *= 2  # alignment failed within the overlap
-                else:
-                    stop = min(end, at + 2 * (stop - at))
+        stop, wide = chunk, overlap
+        ours = self.chunk(marked, 0, stop)
+        while stop < end:
+            tail = stop - wide
+            if tail <= at:  # no boundary to splice at in all of this chunk
+                stop, wide = min(end, at + 2 * (stop - at)), overlap
+                ours = self.chunk(marked, at, stop)
+                continue
+            until = min(end, tail + max(chunk, 2 * wide))
+            theirs = self.chunk(marked, tail, until)
+            both = np.intersect1d(ours, theirs)[::-1].tolist()
+            splice = next((o for o in both if o > at and marked[o] == " " and marked[o - 1] != " "), None)
+            if splice is None:
+                wide *= 2  # alignment failed within the overlap
+                continue
+            total += int(np.searchsorted(ours, splice) - np.searchsorted(ours, at))
+            at, ours, stop, wide = splice, theirs, until, overlap
+        return total + len(ours) - int(np.searchsorted(ours, at))
 
 
 @functools.lru_cache(maxsize=4)
