@@ -19,14 +19,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._common import cut, documents, text_bytes
+from ._common import cut, documents
 from .word_ids import default_words, slices, word_encoder
 
 CAPACITY = 2048
 
-#: Pieces of one length are numbered in so many parts: a length may hold a third of all rows.
-SALTS = 32
-
 
 class Plan:
     """Runs (length, first number, pieces, first sequence, offset): number first+i of the length goes to sequence first sequence+i."""
@@ -165,25 +162,44 @@ _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end_id: int = 0, capacity: int = CAPACITY) -> DataFrame:
-    """Rows (doc_id, piece, start, length, ids_crc32): each document's ids and its end id, cut only where longer than capacity."""
+    """Rows (doc_id, piece, start, length, ids_crc32, part, number): each document's ids and its end id, cut only where longer than capacity.
+
+    number counts the pieces of a length in the partition `part`, from 0.
+    """
     tokenizer = tokenizer or default_words()
-    end = int(end_id).to_bytes(4, "little")
 
     def run(batches):
+        from pyspark import TaskContext
+
+        part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         enc = word_encoder(tokenizer)
         for whole in batches:
             for batch in slices(whole, "text"):
-                rows: tuple[list, ...] = ([], [], [], [], [])
-                for ident, ids in zip(batch.column(0).to_pylist(), enc.encode([b.decode("utf-8", "replace") for b in text_bytes(batch.column(1))]), strict=True):
-                    ids += end
-                    for k, at in enumerate(range(0, len(ids), 4 * capacity)):
-                        part = ids[at : at + 4 * capacity]
-                        for column, value in zip(rows, (ident, k, at // 4, len(part) // 4, zlib.crc32(part)), strict=True):
-                            column.append(value)
-                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
-
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, _PIECES)
+                ids, stops = enc.with_end(batch.column(1), end_id)
+                sizes = np.diff(stops, prepend=0)
+                times = -(-sizes // capacity)
+                doc = np.repeat(np.arange(len(sizes)), times)
+                piece = np.arange(len(doc)) - np.repeat(np.cumsum(times) - times, times)
+                start = piece * capacity
+                length = np.minimum(sizes[doc] - start, capacity)
+                at = (stops - sizes)[doc] + start
+                crc = [zlib.crc32(ids[a:b]) for a, b in zip(at.tolist(), (at + length).tolist(), strict=True)]
+                columns = [batch.column(0).take(pa.array(doc)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc, pa.int64())]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(np.full(len(doc), part, np.int64)), pa.array(_numbered(length, seen))], names=["doc_id", "piece", "start", "length", "ids_crc32", "part", "number"])
+
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"{_PIECES}, part long, number long")
+
+
+def _numbered(length: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    """The number of each piece among those of its length; seen[n]: how many came before, brought up to date."""
+    order = np.argsort(length, kind="stable")
+    mine = length[order]
+    head = np.flatnonzero(np.append(True, mine[1:] != mine[:-1])) if len(mine) else order
+    sizes = np.diff(np.append(head, len(mine)))
+    out = np.empty(len(length), np.int64)
+    out[order] = np.arange(len(mine)) - np.repeat(head, sizes) + seen[mine]
+    seen[mine[head]] += sizes
+    return out
 
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end_id: int = 0, capacity: int = CAPACITY) -> DataFrame:
@@ -191,34 +207,29 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokeni
 
     Null texts count as empty and have the end id alone. Rows that repeat an identifier
     are packed each for itself; null identifiers are packed too. An empty table gives no
-    rows. Ties between pieces of one length are broken by identifier and piece.
+    rows. Other columns of docs are left out, so that none can clash. Pieces of one length
+    are equal to the plan; they take its places in the order of the partitions they are in.
     """
     rows = cut(pieces(docs, id_col, text_col, tokenizer, end_id, capacity))
-    salt = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)).cast("int")
-    rows = rows.withColumn("salt", salt)
-    counted = rows.groupBy("length", "salt").count().collect()  # at most capacity x SALTS rows, whatever the input
-    table = np.zeros((capacity + 1, SALTS), np.int64)
-    for length, s, n in counted:
-        table[length, s] = n
-    before = np.cumsum(table, axis=1) - table
-    plan = plan_packing(table.sum(axis=1), capacity)
-    runs = np.array(sorted(plan.runs), np.int64).reshape(-1, 5)
-    low = np.searchsorted(runs[:, 0], np.arange(capacity + 2))
+    # A row for each length and partition, however many pieces a length has; the plan sees a row a length.
+    counts = rows.groupBy("length", "part").agg(F.count("*").alias("n"))
+    before = cut(counts.select("length", "part", "n", (F.sum("n").over(W.partitionBy("length").orderBy("part")) - F.col("n")).alias("before")))
+    table = np.zeros(capacity + 1, np.int64)
+    for length, n in before.groupBy("length").agg(F.sum("n").alias("n")).collect():  # at most capacity rows, whatever the input
+        table[length] = n
+    runs = np.array(sorted(plan_packing(table, capacity).runs), np.int64).reshape(-1, 5)
+    # Lengths and numbers in one ascending key; a length has fewer than 2**48 pieces.
+    keys = (runs[:, 0] << 48) + runs[:, 1]
 
     def place(batches):
         for batch in batches:
-            length, s, number = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (3, 5, 6))
-            number = number - 1 + before[length, s]
-            run = np.empty(len(length), np.int64)
-            for n in np.unique(length):
-                mine = length == n
-                run[mine] = low[n] + np.searchsorted(runs[low[n] : low[n + 1], 1], number[mine], side="right") - 1
-            sequence = runs[run, 3] + number - runs[run, 1] if len(run) else run
-            offset = runs[run, 4] if len(run) else run
-            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sequence), pa.array(offset)], names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
-
-    numbered = rows.withColumn("number", F.row_number().over(W.partitionBy("length", "salt").orderBy("doc_id", "piece")).cast("long"))
-    return numbered.mapInArrow(place, f"{_PIECES}, sequence_id long, offset long")
+            length, number, skip = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (3, 5, 6))
+            number = number + skip
+            run = runs[np.searchsorted(keys, (length << 48) + number, side="right") - 1] if len(length) else runs[:0]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(run[:, 3] + number - run[:, 1]), pa.array(run[:, 4].copy())], names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
+
+    placed = rows.join(before.drop("n"), ["length", "part"])
+    return placed.select("doc_id", "piece", "start", "length", "ids_crc32", "number", "before").mapInArrow(place, f"{_PIECES}, sequence_id long, offset long")
 
 
 def op3_best_fit_packing(spark, sf_dir) -> DataFrame:

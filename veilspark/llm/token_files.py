@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._common import documents, shared_dir, text_bytes
+from ._common import documents, shared_dir
 from .word_ids import default_words, slices, word_encoder
 
 MAGIC = b"VSPLANE1"
@@ -46,10 +46,11 @@ def write_shard(ids: np.ndarray, block: int = BLOCK_IDS, planes: str = "byte", l
     return b"".join([*body, struct.pack("<IIB", len(index), len(ids) & 0xFFFFFFFF, planes == "bit"), *index, struct.pack("<Q", at)])
 
 
-def read_shard(shard: bytes) -> np.ndarray:
+def read_shard(shard) -> np.ndarray:
     import zstandard
 
-    if shard[: len(MAGIC)] != MAGIC:
+    shard = memoryview(shard)
+    if bytes(shard[: len(MAGIC)]) != MAGIC:
         raise ValueError("not a shard of token ids")
     opener = zstandard.ZstdDecompressor()
     (at,) = struct.unpack_from("<Q", shard, len(shard) - 8)
@@ -71,83 +72,101 @@ def read_shard(shard: bytes) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, "<u4")
 
 
-_SHARDS = "part long, shard long, n_ids long, docs array<bigint>, lengths array<bigint>, body binary"
+#: first: ids before the shard in its part.
+_SHARDS = "part long, shard long, first long, n_ids long, docs array<bigint>, lengths array<bigint>, body binary"
 
 
 def write_token_files(docs: DataFrame, at: str, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end_id: int = 1, planes: str = "byte") -> None:
     """Encodes each whole text, appends end_id, and writes shards at `at` in ascending order of identifiers.
 
     Null texts count as empty and have the end id alone. A null identifier comes first.
-    Rows that repeat an identifier are all written, in any order among themselves. An
-    empty table gives an empty folder with a schema. Nothing but the order needs a
-    shuffle: Spark range-partitions by identifier, each task writes its own shards.
+    Rows that repeat an identifier are all written, in the order of a hash of their texts,
+    by which an identifier with very many rows is dealt over partitions too. An empty
+    table gives an empty folder with a schema. Other columns of docs are not written, so
+    that none can clash. Nothing but the order needs a shuffle: Spark range-partitions by
+    identifier, each task writes its own shards.
     """
     tokenizer = tokenizer or default_words()
-    end = int(end_id).to_bytes(4, "little")
 
     def run(batches):
         from pyspark import TaskContext
 
-        part, shard = TaskContext.get().partitionId(), 0
+        part, shard, first = TaskContext.get().partitionId(), 0, 0
         enc = word_encoder(tokenizer)
         idents, lengths, body, n = [], [], [], 0
 
         def out():
-            nonlocal shard, idents, lengths, body, n
-            row = [[part], [shard], [n], [idents], [lengths], [write_shard(np.frombuffer(b"".join(body), "<u4"), planes=planes)]]
-            shard, idents, lengths, body, n = shard + 1, [], [], [], 0
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds, strict=True)], names=["part", "shard", "n_ids", "docs", "lengths", "body"])
+            nonlocal shard, first, idents, lengths, body, n
+            row = [[part], [shard], [first], [n], [pa.concat_arrays(idents)], [np.concatenate(lengths)], [write_shard(np.concatenate(body), planes=planes)]]
+            shard, first, idents, lengths, body, n = shard + 1, first + n, [], [], [], 0
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds, strict=True)], names=["part", "shard", "first", "n_ids", "docs", "lengths", "body"])
 
         for whole in batches:
             for batch in slices(whole, "text"):
-                for ident, ids in zip(batch.column(0).to_pylist(), enc.encode([b.decode("utf-8", "replace") for b in text_bytes(batch.column(1))]), strict=True):
-                    idents.append(ident)
-                    lengths.append(len(ids) // 4 + 1)
-                    body += (ids, end)
-                    n += lengths[-1]
-                    if n >= SHARD_IDS:
-                        yield out()
+                ids, stops = enc.with_end(batch.column(1), end_id)
+                idents.append(batch.column(0))
+                lengths.append(np.diff(stops, prepend=0))
+                body.append(ids)
+                n += len(ids)
+                if n >= SHARD_IDS:
+                    yield out()
         if idents:
             yield out()
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).withColumn("tie", F.xxhash64("text"))
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = rows.repartitionByRange(parts, "id").sortWithinPartitions("id")
+    ordered = rows.repartitionByRange(parts, "id", "tie").sortWithinPartitions("id", "tie").select("id", "text")
     ordered.mapInArrow(run, _SHARDS).write.option("compression", "none").parquet(at)
 
 
-def read_token_files(spark, at: str) -> DataFrame:
-    """Rows (doc_id, start, ids binary) of every document, from the shards; start counts the ids of all documents before it."""
+def _read(spark, at: str, columns, schema: str) -> DataFrame:
+    """Documents from the shards; columns(ids of a shard, places behind each document's last id) gives what follows doc_id and start.
+
+    A shard carries its place within its part, so only the ids before each part are
+    handed out: one row a partition of the writing job, which is what bounds the broadcast.
+    """
     shards = spark.read.schema(_SHARDS).parquet(at)
-    # One row a part, then one row a shard of a part: no window runs over all shards.
     parts = shards.groupBy("part").agg(F.sum("n_ids").alias("ids"))
     before = parts.select("part", (F.sum("ids").over(W.orderBy("part")) - F.col("ids")).alias("before"))
-    within = shards.select("part", "shard", "n_ids").withColumn("inside", F.sum("n_ids").over(W.partitionBy("part").orderBy("shard")) - F.col("n_ids"))
-    starts = within.join(before, "part").select("part", "shard", (F.col("before") + F.col("inside")).alias("first"))
-    placed = shards.join(starts, ["part", "shard"]).select("first", "docs", "lengths", "body")
+    placed = shards.join(F.broadcast(before), "part").select((F.col("before") + F.col("first")).alias("first"), "docs", "lengths", "body")
 
     def run(batches):
         for batch in batches:
-            for first, idents, lengths, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                ids = read_shard(body).tobytes()
-                ends = np.cumsum(lengths)
-                cuts = [ids[4 * (e - n) : 4 * e] for e, n in zip(ends.tolist(), lengths, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(idents, pa.int64()), pa.array((ends - lengths + first).tolist(), pa.int64()), pa.array(cuts, pa.binary())], names=["doc_id", "start", "ids"])
+            for i in range(batch.num_rows):  # a shard at a time
+                row = batch.slice(i, 1)
+                ids, lengths = read_shard(row.column(3)[0].as_buffer()), row.column(2).flatten().to_numpy()
+                stops = np.cumsum(lengths)
+                added = columns(ids, stops)
+                out = pa.RecordBatch.from_arrays([row.column(1).flatten(), pa.array(stops - lengths + row.column(0)[0].as_py()), *added.values()], names=["doc_id", "start", *added])
+                for k in range(0, out.num_rows, 2048):
+                    yield out.slice(k, 2048)
+
+    return placed.mapInArrow(run, f"doc_id long, start long, {schema}")
+
+
+def read_token_files(spark, at: str) -> DataFrame:
+    """Rows (doc_id, start, ids binary) of every document, from the shards; start counts the ids of all documents before it."""
 
-    return placed.mapInArrow(run, "doc_id long, start long, ids binary")
+    def columns(ids: np.ndarray, stops: np.ndarray) -> dict[str, pa.Array]:
+        places = pa.array(np.append(0, 4 * stops).astype(np.int64)).buffers()[1]
+        return {"ids": pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(stops), [None, places, pa.py_buffer(ids)]).cast(pa.binary())}
+
+    return _read(spark, at, columns, "ids binary")
+
+
+def read_token_digests(spark, at: str) -> DataFrame:
+    """As read_token_files(), with n_tokens and ids_crc32 in place of the ids."""
+
+    def columns(ids: np.ndarray, stops: np.ndarray) -> dict[str, pa.Array]:
+        starts = np.append(0, stops[:-1])
+        crc = [zlib.crc32(ids[a:b]) for a, b in zip(starts.tolist(), stops.tolist(), strict=True)]
+        return {"n_tokens": pa.array(stops - starts), "ids_crc32": pa.array(crc, pa.int64())}
+
+    return _read(spark, at, columns, "n_tokens long, ids_crc32 long")
 
 
 def op5_token_files(spark, sf_dir) -> DataFrame:
     at = f"{shared_dir(spark)}/token-files-{uuid.uuid4().hex}"
     write_token_files(documents(spark, sf_dir), at)
-
-    def digest(batches):
-        for batch in batches:
-            ids = batch.column(2).to_pylist()
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([zlib.crc32(x) for x in ids], pa.int64())],
-                names=["doc_id", "start", "n_tokens", "ids_crc32"],
-            )
-
-    return read_token_files(spark, at).mapInArrow(digest, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return read_token_digests(spark, at)
