@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field, replace
+from functools import lru_cache
 
 from ..errors import INVALID_RULE, SanitizerError
 
@@ -28,6 +29,8 @@ class Rule:
     validate: Callable[[str], bool] | None = None
     json_keys: tuple[str, ...] = ()
     json_key_contains: tuple[str, ...] = ()
+    #: (number of a pattern, function of a text that gives a test of where a value starts): what a look-behind of any length would ask.
+    guards: tuple[tuple[int, Callable[[str], Callable[[int], bool]]], ...] = ()
 
     @property
     def prefix(self) -> str:
@@ -56,6 +59,7 @@ def python_pattern(source: str) -> str:
     return "".join(out)
 
 
+@lru_cache(maxsize=4096)
 def compiled(source: str):
     """Compiled pattern; the regex module where look-behind has no fixed width."""
     text = python_pattern(source)

@@ -1,21 +1,23 @@
 """Redaction of a text column.
 
-Three steps over each row, none of which shuffles. A scan finds the candidates of each
-unit of text (a line, or a string of a JSON line): for every pattern the match at every
-start. Spark's array functions then arbitrate: candidates in the order of (start, rule,
-pattern) are taken if they begin where the last one ended or later; one that its rule's
-check refuses takes its span all the same. A last step derives tokens and puts the
-units together again. Keys for tokens stay out of plans: they travel with the function.
+One function over each row, which shuffles nothing. In a unit of text (a line, or a string
+of a JSON line) every pattern has a cursor at its next value; the leftmost value is taken,
+then the rule's and the pattern's order decide, and cursors that are behind its end move
+on. A value that its rule's check refuses takes its span all the same. The function counts
+as nondeterministic: filters and explodes of its result use the value that was computed,
+and do not compute it anew. Keys for tokens stay out of plans: they travel with the function.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import hmac
 import re
 from dataclasses import dataclass, field
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,32 +25,31 @@ from pyspark.sql import functions as F
 from ..functions import fields
 from ..functions.rules import AllowList, KeyResolver, Rule, compiled, python_pattern
 
-#: Rank of a value that its key names: before all patterns.
-KEYED = -1
-
-#: Sorted as it stands: by start, rule, pattern. value: what a key names, decoded; else the span itself is meant.
-CANDIDATE = "struct<start:int,rank:int,pattern:int,stop:int,ok:boolean,rule:int,quote:string,value:string>"
-_FIELDS = ("start", "rank", "pattern", "stop", "ok", "rule", "quote", "value")
-UNITS = f"array<struct<text:string,keyed:int,cands:array<{CANDIDATE}>>>"
 MATCHES = "array<struct<rule_id:string,original:string,replacement:string,index:int,seq:int,context_before:string,context_after:string>>"
 RESULT = f"output string, is_json boolean, matches {MATCHES}"
 
+#: Characters of a line that are looked at together, and among its last ones a place for a cut is looked for.
+MAX_LINE_CHARS, OVERLAP_CHARS = 1 << 20, 1024
+
 
 @dataclass(frozen=True)
 class Settings:
-    """What the steps need on an executor; pickled with them."""
+    """What the function needs on an executor; pickled with it."""
 
     rules: tuple[Rule, ...]
     key: bytes = field(repr=False)
     allow: AllowList = field(default_factory=AllowList)
     json: bool = True
     context_chars: int = 0
+    max_line_chars: int = MAX_LINE_CHARS
+    overlap_chars: int = OVERLAP_CHARS
 
 
 #: Sets of characters that a gate has at most; common letters tell nothing.
 GATES, COMMON = 3, frozenset("abcdefghijklmnopqrstuvwxyz ")
 
 
+@lru_cache(maxsize=4096)
 def gates(source: str) -> tuple[frozenset[str], ...]:
     """Sets of characters: a text that has a match has a character of each. Found in the parsed pattern; none where that is not plain."""
     from re import _constants as C
@@ -76,7 +77,7 @@ def gates(source: str) -> tuple[frozenset[str], ...]:
                 out.append(chars(arg))
             elif op in (C.MAX_REPEAT, C.MIN_REPEAT) and arg[0]:
                 out += walk(arg[2])
-            elif op is C.SUBPATTERN:
+            elif op is C.SUBPATTERN and not arg[1] & re.IGNORECASE:
                 out += walk(arg[3])
             elif op is C.ASSERT:
                 out += walk(arg[1])
@@ -93,63 +94,141 @@ def gates(source: str) -> tuple[frozenset[str], ...]:
         tree = P.parse(python_pattern(source), re.ASCII)
     except re.error:
         return ()
-    if tree.state.flags & re.IGNORECASE or "(?i" in source:
+    if tree.state.flags & re.IGNORECASE:
         return ()
     return tuple(sorted({s for s in walk(tree) if not s & COMMON}, key=lambda s: (*cost(s), sorted(s)))[:GATES])
 
 
+class Cursor:
+    """One pattern's next value in a text."""
+
+    __slots__ = ("rank", "order", "pattern", "grouped", "needs", "check", "guard", "resume")
+
+    def __init__(self, rank: int, order: int, source: str, rule: Rule):
+        self.rank, self.order, self.pattern, self.needs, self.check = rank, order, compiled(source), gates(source), rule.validate
+        self.grouped = self.pattern.groups == 1
+        self.guard = dict(rule.guards).get(order)
+        self.resume = 0
+
+    def seek(self, text: str, floor: int, guards: dict) -> tuple[int, int] | None:
+        """The span of the first value that begins at floor or later. A prefix may begin before it."""
+        at = min(self.resume, floor) if self.grouped else floor
+        while m := self.pattern.search(text, at):
+            start, stop = m.span(1) if self.grouped and m.start(1) >= 0 else m.span()
+            if start >= floor and (self.guard is None or self._holds(text, start, guards)):
+                self.resume = start
+                return start, stop
+            at = max(start, m.start() + 1)
+            if at > len(text):
+                break
+        return None
+
+    def _holds(self, text: str, start: int, guards: dict) -> bool:
+        if self.guard not in guards:
+            guards[self.guard] = self.guard(text)
+        return guards[self.guard](start)
+
+
 class Scanner:
-    """Candidates of one text."""
+    """Values and replacements of lines."""
 
     def __init__(self, settings: Settings):
+        self.settings, self.rules, self.json = settings, settings.rules, settings.json
         self.allowed = settings.allow.matcher()
-        self.json = settings.json
         self.resolve = KeyResolver(list(settings.rules))
-        self.rules = settings.rules
-        self.patterns = [(rank, k, compiled(p), gates(p), rule.validate) for rank, rule in enumerate(settings.rules) for k, p in enumerate(rule.patterns)]
+        self.cursors = [Cursor(rank, k, p, rule) for rank, rule in enumerate(settings.rules) for k, p in enumerate(rule.patterns)]
+        self.token = Tokens(settings).token
 
-    def candidates(self, text: str) -> list[tuple]:
-        out, spans = [], fields.keyed_pairs(text, self.resolve) if self.json else []
+    def taken(self, text: str) -> list[tuple[int, int, int, str, str]]:
+        """(start, stop, rule, value, quotes to put around its token) of what is redacted, in order."""
+        keyed = fields.keyed_pairs(text, self.resolve) if self.json else []
         shown = text
-        for start, stop, value, rule, quote in spans:
-            out.append((start, KEYED, 0, stop, not self.allowed(self.rules[rule].id, value), rule, quote, value))
-            shown = shown[:start] + " " * (stop - start) + shown[stop:]
-        has = set(shown)
-        for rank, k, pattern, needs, check in self.patterns:
-            if any(n.isdisjoint(has) for n in needs):
+        if keyed:
+            parts, at = [], 0
+            for start, stop, *_ in keyed:
+                parts += (text[at:start], " " * (stop - start))
+                at = stop
+            shown = "".join([*parts, text[at:]])
+        has, heap, guards = set(shown), [], {}
+        for i, c in enumerate(self.cursors):
+            if any(n.isdisjoint(has) for n in c.needs):
+                continue
+            c.resume = 0
+            if (span := c.seek(shown, 0, guards)) is not None:
+                heap.append((span[0], c.rank, c.order, span[1], i))
+        heapq.heapify(heap)
+        out, floor, k = [], 0, 0
+        while heap or k < len(keyed):
+            if k < len(keyed) and (not heap or keyed[k][0] <= heap[0][0]):
+                start, stop, value, rule, quote = keyed[k]
+                k += 1
+                if not self.allowed(self.rules[rule].id, value):
+                    out.append((start, stop, rule, value, quote))
+                floor = stop
                 continue
-            at = 0
-            group = 1 if pattern.groups == 1 else 0
-            while m := pattern.search(shown, at):
-                at = m.start() + 1
-                start, stop = m.span(group) if m.start(group) >= 0 else m.span()
-                if any(start < b and a < max(stop, start + 1) for a, b, *_ in spans):
-                    continue
-                value = text[start:stop]
-                ok = (check is None or bool(check(value))) and not self.allowed(self.rules[rank].id, value)
-                out.append((start, rank, k, stop, ok, rank, "", None))
-                if at > len(shown):
-                    break
+            start, rank, order, stop, i = heap[0]
+            c = self.cursors[i]
+            if start >= floor:
+                if k < len(keyed) and stop > keyed[k][0]:
+                    to = start + 1  # what a key names is not cut into
+                else:
+                    value = text[start:stop]
+                    if (c.check is None or c.check(value)) and not self.allowed(self.rules[rank].id, value):
+                        out.append((start, stop, rank, value, ""))
+                    to = floor = max(stop, start + 1)
+            else:
+                to = floor
+            span = c.seek(shown, to, guards) if to <= len(shown) else None
+            if span is None:
+                heapq.heappop(heap)
+            else:
+                heapq.heapreplace(heap, (span[0], rank, order, span[1], i))
         return out
 
-    def units(self, line: str) -> tuple[bool, list[tuple]]:
-        """(whether the line is JSON, [(text, rule that its key asks for or None, candidates)])."""
+    def _text(self, text: str, matches: list[tuple], shift: int = 0) -> str:
+        """The text with tokens; its matches are added."""
+        chars, at, parts = self.settings.context_chars, 0, []
+        for start, stop, rule, value, quote in self.taken(text):
+            new = self.token(rule, value)
+            parts += (text[at:start], quote, new, quote)
+            at = stop
+            before, after = (text[max(0, start - chars) : start], text[stop : stop + chars]) if chars else (None, None)
+            matches.append((self.rules[rule].id, value, new, start + shift, before, after))
+        return "".join([*parts, text[at:]]) if parts else text
+
+    def _pieces(self, line: str):
+        """(place, piece) of a line beyond the bound: cut behind the last white space of a piece's last characters, if there is one."""
+        most, overlap, at = self.settings.max_line_chars, self.settings.overlap_chars, 0
+        while len(line) - at > most:
+            blank = max((line.rfind(c, at + most - overlap, at + most) for c in " \t"), default=-1)
+            to = blank + 1 if blank >= 0 else at + most
+            yield at, line[at:to]
+            at = to
+        yield at, line[at:]
+
+    def line(self, line: str) -> tuple[str, bool, list[tuple]]:
+        """(output, whether the line is JSON, matches)."""
+        matches: list[tuple] = []
+        if len(line) > self.settings.max_line_chars:
+            return "".join([self._text(piece, matches, at) for at, piece in self._pieces(line)]), False, matches
         tree = fields.parse_json(line) if self.json else None
         if tree is None:
-            return False, [(line, None, self.candidates(line))]
-        found: list[tuple] = []
+            return self._text(line, matches), False, matches
 
-        def note(value, key, parent):
+        def put(value, key, parent):
             text = fields.number_text(value) if isinstance(value, float) else value
             rule = None if key is None or text in fields.BLANK else self.resolve(key, parent)
-            if rule is not None:
-                found.append((text, None if self.allowed(self.rules[rule].id, text) else rule, []))
-            else:
-                found.append((text, None, self.candidates(text) if isinstance(value, str) else []))
-            return value
+            if rule is None:
+                return self._text(value, matches) if isinstance(value, str) else value
+            if self.allowed(self.rules[rule].id, text):
+                return value
+            new = self.token(rule, text)
+            matches.append((self.rules[rule].id, text, new, 0, *(("", "") if self.settings.context_chars else (None, None))))
+            return new
 
-        fields.walk(tree, note)
-        return True, found
+        end = line[len(line.rstrip("\r\n")) :]
+        end = end[-2:] if end.endswith("\r\n") else end[-1:]
+        return fields.json_text(fields.walk(tree, put)) + end, True, matches
 
 
 class Tokens:
@@ -181,82 +260,31 @@ class Once:
         return {"make": self.make, "settings": self.settings, "made": None}
 
 
-def arbitrate(cands: Column) -> Column:
-    """Candidates that are taken, in order; refused ones are dropped after they took their span."""
-    state = F.struct(F.lit(0).alias("floor"), F.filter(cands, lambda c: F.lit(False)).alias("taken"))
-
-    def step(s: Column, c: Column) -> Column:
-        end = F.greatest(c["stop"], c["start"] + 1)
-        return F.when(c["start"] < s["floor"], s).otherwise(F.struct(end.alias("floor"), F.when(c["ok"], F.array_append(s["taken"], c)).otherwise(s["taken"]).alias("taken")))
-
-    return F.aggregate(F.array_sort(cands), state, step)["taken"]
-
-
-def _joined(line: str, is_json: bool, units: list[dict], token, settings: Settings) -> tuple[str, list[dict]]:
-    """(output, matches) of one line from its units and what was taken in them."""
-    rules, chars = settings.rules, settings.context_chars
-    matches: list[dict] = []
-    outs = []
-    for unit in units:
-        text, at, parts = unit["text"], 0, []
-        taken = unit["cands"] if unit["keyed"] is None else [{"start": 0, "stop": len(text), "rule": unit["keyed"], "quote": "", "value": None}]
-        for c in taken:
-            start, stop, rule = c["start"], c["stop"], c["rule"]
-            value = text[start:stop] if c["value"] is None else c["value"]
-            new = token(rule, value)
-            parts += (text[at:start], c["quote"], new, c["quote"])
-            at = stop
-            before, after = (text[max(0, start - chars) : start], text[stop : stop + chars]) if chars else (None, None)
-            matches.append({"rule_id": rules[rule].id, "original": value, "replacement": new, "index": start, "seq": len(matches), "context_before": before, "context_after": after})
-        outs.append("".join([*parts, text[at:]]))
-    if not is_json:
-        return outs[0], matches
-    end = line[len(line.rstrip("\r\n")) :]
-    end = end[-2:] if end.endswith("\r\n") else end[-1:]
-    new = iter(zip(outs, units, strict=True))
-
-    def put(value, key, parent):
-        out, unit = next(new)
-        return value if isinstance(value, float) and out == unit["text"] else out
-
-    return fields.json_text(fields.walk(fields.parse_json(line), put)) + end, matches
+_KINDS = {"rule_id": pa.string(), "original": pa.string(), "replacement": pa.string(), "index": pa.int32(), "seq": pa.int32(), "context_before": pa.string(), "context_after": pa.string()}
 
 
-SCANNED = pa.struct([("is_json", pa.bool_()), ("units", pa.list_(pa.struct([("text", pa.string()), ("keyed", pa.int32()), ("cands", pa.list_(pa.struct([
-    ("start", pa.int32()), ("rank", pa.int32()), ("pattern", pa.int32()), ("stop", pa.int32()), ("ok", pa.bool_()), ("rule", pa.int32()), ("quote", pa.string()), ("value", pa.string()),
-])))])))])
-JOINED = pa.struct([("output", pa.string()), ("is_json", pa.bool_()), ("matches", pa.list_(pa.struct([
-    ("rule_id", pa.string()), ("original", pa.string()), ("replacement", pa.string()), ("index", pa.int32()), ("seq", pa.int32()), ("context_before", pa.string()), ("context_after", pa.string()),
-])))])
+def _column(rows: list[tuple[str | None, bool, list[tuple]]]) -> pa.Array:
+    """Struct array of (output, is_json, matches)."""
+    sizes = np.fromiter((len(m) for _, _, m in rows), np.int32, len(rows))
+    flat = [m for _, _, ms in rows for m in ms]
+    ends = np.cumsum(sizes, dtype=np.int32)
+    parts = dict(zip(("rule_id", "original", "replacement", "index", "context_before", "context_after"), zip(*flat, strict=True) if flat else [()] * 6, strict=True))
+    parts["seq"] = np.arange(len(flat), dtype=np.int32) - np.repeat(ends - sizes, sizes)
+    each = pa.StructArray.from_arrays([pa.array(parts[n], k) for n, k in _KINDS.items()], names=list(_KINDS))
+    matches = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), each)
+    return pa.StructArray.from_arrays([pa.array([o for o, _, _ in rows], pa.string()), pa.array([j for _, j, _ in rows], pa.bool_()), matches], names=["output", "is_json", "matches"])
 
 
 def redacted(text: Column, settings: Settings) -> Column:
-    """Struct (output, is_json, matches) of a string column; null stays null."""
-    scanner, tokens = Once(Scanner, settings), Once(Tokens, settings)
-
-    @F.arrow_udf(f"is_json boolean, units {UNITS}")
-    def scan(lines: pa.Array) -> pa.Array:
-        rows = []
-        for line in lines.to_pylist():
-            is_json, units = (False, []) if line is None else scanner().units(line)
-            rows.append({"is_json": is_json, "units": [{"text": t, "keyed": k, "cands": [dict(zip(_FIELDS, c, strict=True)) for c in cs]} for t, k, cs in units]})
-        return pa.array(rows, SCANNED)
+    """Struct (output, is_json, matches) of a string column; a null has a null output and no matches."""
+    scanner = Once(Scanner, settings)
 
     @F.arrow_udf(RESULT)
-    def join(lines: pa.Array, is_json: pa.Array, units: pa.Array) -> pa.Array:
-        rows = []
-        for line, j, us in zip(lines.to_pylist(), is_json.to_pylist(), units.to_pylist(), strict=True):
-            if line is None:
-                rows.append({"output": None, "is_json": False, "matches": []})
-                continue
-            output, matches = _joined(line, j, us, tokens().token, settings)
-            rows.append({"output": output, "is_json": j, "matches": matches})
-        return pa.array(rows, JOINED)
-
-    line = F.make_valid_utf8(text)
-    found = scan(line)
-    taken = F.transform(found["units"], lambda u: F.struct(u["text"].alias("text"), u["keyed"].alias("keyed"), arbitrate(u["cands"]).alias("cands")))
-    return join(line, found["is_json"], taken)
+    def run(lines: pa.Array) -> pa.Array:
+        one = scanner().line
+        return _column([(None, False, []) if line is None else one(line) for line in lines.to_pylist()])
+
+    return run.asNondeterministic()(F.make_valid_utf8(text))
 
 
 def redact(df: DataFrame, column: str, settings: Settings, into: str = "redacted") -> DataFrame:
