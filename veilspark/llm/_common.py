@@ -5,11 +5,14 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .word_ids import slices
+
 #: Bytes of text that one chunk of documents holds (a longer document is a chunk of its own).
 CHUNK_BYTES = 4 << 20
 
@@ -68,6 +71,16 @@ def unpack_table(blob: bytes) -> pa.Table:
     return pa.ipc.open_stream(blob).read_all()
 
 
+def tidy() -> None:
+    """Hands memory that a worker no longer uses back to the system: workers stay, also between stages."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def text_bytes(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
     """Each value's UTF-8 bytes; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -97,11 +110,12 @@ def chunks_of(batches, text: str, chunk_bytes: int = CHUNK_BYTES):
 
 
 def chunked(docs: DataFrame, text: str, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """Rows (chunk long, n long, blob binary): documents packed a chunk a row, kept in the shared folder.
+    """Rows (chunk long, size long, blob binary): documents packed a chunk a row, in a table bucketed by chunk in the shared folder.
 
-    Later steps meet their chunk again by its number, so a text moves compressed and
-    once a step, and a step's messages are keyed by chunk, not by document. A retried
-    task may number its chunks anew only before the table is written.
+    Later steps meet their chunk again by its number without moving it: only their
+    messages, which are keyed by chunk and not by document, are shuffled. size: bytes of
+    text. A retried task may number its chunks anew only before the table is written.
+    Bucketing needs a name in the catalog, which is dropped as soon as the table is read.
     """
 
     def pack(batches):
@@ -109,12 +123,53 @@ def chunked(docs: DataFrame, text: str, chunk_bytes: int = CHUNK_BYTES) -> DataF
 
         first = TaskContext.get().partitionId() << 32
         for k, batch in enumerate(chunks_of(batches, text, chunk_bytes)):
+            size = pc.sum(pc.binary_length(batch.column(batch.schema.get_field_index(text)))).as_py() or 0
             yield pa.RecordBatch.from_arrays(
-                [pa.array([first + k], pa.int64()), pa.array([batch.num_rows], pa.int64()), pa.array([pack_batch(batch)], pa.binary())],
-                names=["chunk", "n", "blob"],
+                [pa.array([first + k], pa.int64()), pa.array([size], pa.int64()), pa.array([pack_batch(batch)], pa.binary())],
+                names=["chunk", "size", "blob"],
             )
 
-    return stored(docs.mapInArrow(pack, "chunk long, n long, blob binary"), "none")
+    spark = docs.sparkSession
+    name = f"veilspark_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = docs.mapInArrow(pack, "chunk long, size long, blob binary").repartition(buckets, "chunk")
+    at = f"{shared_dir(spark)}/{name}"
+    rows.write.format("parquet").option("compression", "none").option("path", at).bucketBy(buckets, "chunk").saveAsTable(name)
+    table = spark.table(name)
+    assert table.columns == ["chunk", "size", "blob"]
+    spark.sql(f"DROP TABLE {name}")
+    return table
+
+
+def split_words(column: pa.Array, lower: bool = False) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """(words of each text, distinct words, their numbers in order); a word is a run without ASCII white space. lower: A-Z lowered."""
+    some, coded = [], []
+    for part in slices(pa.RecordBatch.from_arrays([column], names=["text"]), "text"):
+        texts = part.column(0).cast(pa.large_string()).fill_null("")
+        texts = pa.concat_arrays([texts, texts.slice(0, 0)])  # a copy: kernels of strings may take a slice's offsets wrongly
+        split = pc.ascii_split_whitespace(texts)
+        words, n = split.flatten(), np.diff(split.offsets.to_numpy())
+        full = pc.greater(pc.binary_length(words), 0)
+        if not pc.all(full, min_count=0).as_py():  # white space at an end gives an empty string
+            n = n - np.bincount(np.repeat(np.arange(len(n)), n)[~full.to_numpy(zero_copy_only=False)], minlength=len(n))
+            words = words.filter(full)
+        some.append(n)
+        coded.append(words.dictionary_encode())
+    if not coded:
+        return np.zeros(0, np.int64), pa.array([], pa.large_string()), np.zeros(0, np.int32)
+    names = pa.concat_arrays([c.dictionary for c in coded])
+    whole = (pc.ascii_lower(names) if lower else names).dictionary_encode()
+    number, at, first = whole.indices.to_numpy(), [], 0
+    for c in coded:
+        at.append(number[c.indices.to_numpy() + first])
+        first += len(c.dictionary)
+    return np.concatenate(some), whole.dictionary, np.concatenate(at)
+
+
+def one_array(column: pa.ChunkedArray | pa.Array) -> pa.Array:
+    if not isinstance(column, pa.ChunkedArray):
+        return column
+    return column.chunk(0) if column.num_chunks == 1 else pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
 
 
 def whole_text(text: str):
