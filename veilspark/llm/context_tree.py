@@ -19,16 +19,15 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._common import by_chunk, chunked, cut, ddl, documents, free_name, stored, text_bytes, unpack_table
+from ._common import by_chunk, chunked, cut, ddl, documents, free_name, one_array, split_words, stored, text_bytes, tidy, unpack_table
 
 #: Bytes of context. A gram is one byte longer and has to fit 62 bits.
 DEPTH = 4
 
 #: Bytes of text in a chunk, positions that are looked at together.
-CHUNK_BYTES, BLOCK = 16 << 20, 1 << 20
+CHUNK_BYTES, BLOCK = 16 << 20, 1 << 19
 
 #: A byte that UTF-8 never has: before and after each text.
 EDGE = 0xFF
@@ -242,18 +241,24 @@ class Texts:
 
 
 def _gram_counts(texts: Texts, learn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct grams and how often texts that are learned from have them."""
-    grams, counts = [], []
+    """Distinct grams and how often texts that are learned from have them: a block's are merged with those before it."""
+    grams, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
     for _, mine, flag in texts.blocks(learn):
-        both = np.sort(mine << 1 | flag)
-        g = both >> 1
-        head = np.flatnonzero(np.append(True, g[1:] != g[:-1])) if len(g) else np.zeros(0, np.int64)
-        grams.append(g[head])
-        counts.append(np.add.reduceat(both & 1, head) if len(g) else g)
-    if len(grams) < 2:
-        return (grams[0], counts[0]) if grams else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-    every, where = np.unique(np.concatenate(grams), return_inverse=True)
-    return every, np.bincount(where, np.concatenate(counts), len(every)).astype(np.int64)
+        if not len(mine):
+            continue
+        mine <<= 1
+        mine |= flag
+        mine.sort()
+        g = mine >> 1
+        head = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
+        mine &= 1
+        n = np.add.reduceat(mine, head)
+        both = np.concatenate([grams, g[head]])
+        order = np.argsort(both, kind="stable")  # two ascending runs
+        both, n = both[order], np.concatenate([counts, n])[order]
+        head = np.flatnonzero(np.append(True, both[1:] != both[:-1]))
+        grams, counts = both[head], np.add.reduceat(n, head)
+    return grams, counts
 
 
 def _sums(texts: Texts, known: np.ndarray, log_p: np.ndarray) -> np.ndarray:
@@ -275,29 +280,13 @@ def _sums(texts: Texts, known: np.ndarray, log_p: np.ndarray) -> np.ndarray:
     return out
 
 
-def _tokens(column: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
-    """(words of each text, distinct words, their numbers in order); a word is a run without ASCII white space, A-Z lowered."""
-    split = pc.ascii_split_whitespace(pc.ascii_lower(column.cast(pa.large_string()).fill_null("")))
-    words = split.flatten()
-    some = np.diff(split.offsets.to_numpy())
-    full = pc.greater(pc.binary_length(words), 0)
-    if not pc.all(full, min_count=0).as_py():  # white space at an end gives an empty string
-        empty = np.bincount(np.repeat(np.arange(len(some)), some)[~full.to_numpy(zero_copy_only=False)], minlength=len(some))
-        some, words = some - empty, words.filter(full)
-    coded = words.dictionary_encode()
-    return some, coded.dictionary.cast(pa.large_binary()), coded.indices.to_numpy()
-
-
-def _column(table, name: str) -> pa.Array:
-    column = table.column(name)
-    return column.combine_chunks() if isinstance(column, pa.ChunkedArray) and column.num_chunks != 1 else column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
-
-
-#: Longer words travel as a space and their XXH3 of 128 bits: no word has a space.
+#: Longer words travel as a space and their XXH3 of 128 bits: no word has a space. Two such words that
+#: share all 128 bits would count as one word.
 LONG_WORD = 64
 
 
 def _keys(words: pa.Array) -> pa.Array:
+    words = words.cast(pa.large_binary())
     long = pc.greater(pc.binary_length(words), LONG_WORD)
     if not pc.any(long, min_count=0).as_py():
         return words.cast(pa.binary())
@@ -327,28 +316,30 @@ def lm_scores(docs: DataFrame, learn: str, text_col: str = "text", depth: int =
                 flags = table.column(learn).fill_null(False).to_numpy().astype(np.int64)
                 grams, n = _gram_counts(Texts(text_bytes(table.column(text_col)), depth), flags)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(grams), number)), pa.array(grams), pa.nulls(len(grams), pa.binary()), pa.array(n)], names=["chunk", "gram", "word", "n"])
-                some, words, at = _tokens(_column(table, text_col))
+                some, words, at = split_words(one_array(table.column(text_col)), lower=True)
                 counts = np.bincount(at, np.repeat(flags, some), len(words)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(words), number)), pa.nulls(len(words), pa.int64()), _keys(words), pa.array(counts)], names=["chunk", "gram", "word", "n"])
+                del table, grams, n, some, words, at, counts
+                tidy()
 
     told = stored(chunks.select("chunk", "blob").mapInArrow(gather, "chunk long, gram long, word binary, n long"))
     of_grams, of_words = told.where("gram is not null").select("chunk", "gram", "n"), told.where("word is not null").select("chunk", "word", "n")
     scored = gram_scores(cut(of_grams.groupBy("gram").agg(F.sum("n").alias("n"))), depth)
-    every = W.partitionBy("word")
-    counts = stored(of_words.select("chunk", "word", F.sum("n").over(every).alias("c"), (F.row_number().over(every.orderBy("chunk")) == 1).alias("once")))
+    # Sums are made before a shuffle, and Spark can split the join's partition of a word that every chunk has.
+    counts = cut(of_words.groupBy("word").agg(F.sum("n").alias("c")))
     ends = docs.where(F.col(learn)).count()
-    total = counts.where("once").agg(F.sum("c").alias("n"), F.count_if(F.col("c") > 0).alias("v")).first()
+    total = counts.agg(F.sum("c").alias("n"), F.count_if(F.col("c") > 0).alias("v")).first()
     train, distinct = (total.n or 0) + ends, total.v + (ends > 0)
 
     back = of_grams.select("chunk", "gram").join(scored, "gram").select("chunk", "gram", F.lit(None).cast("binary").alias("word"), F.col("log_p").alias("value"))
-    back = back.union(counts.select("chunk", F.lit(None).cast("long").alias("gram"), "word", F.col("c").cast("double").alias("value")))
+    back = back.union(of_words.select("chunk", "word").join(counts, "word").select("chunk", F.lit(None).cast("long").alias("gram"), "word", F.col("c").cast("double").alias("value")))
 
     def finish(_: int, table: pa.Table, told: pa.Table) -> pa.Table:
         is_gram = told.column("gram").is_valid()
         mine = told.filter(is_gram)
         texts = Texts(text_bytes(table.column(text_col)), depth)
         score = _sums(texts, mine.column("gram").to_numpy(), mine.column("value").to_numpy())
-        some, words, at = _tokens(_column(table, text_col))
+        some, words, at = split_words(one_array(table.column(text_col)), lower=True)
         others = told.filter(pc.invert(is_gram))
         where = pc.index_in(_keys(words), value_set=others.column("word").combine_chunks()).to_numpy(zero_copy_only=False)
         c = others.column("value").to_numpy()[where] if len(words) else np.zeros(0)
@@ -357,6 +348,7 @@ def lm_scores(docs: DataFrame, learn: str, text_col: str = "text", depth: int =
         base = np.bincount(text, per_word[at], len(some)) + end
         known = np.bincount(text, (c > 0)[at], len(some)).astype(np.int64) + (ends > 0)
         added = [pa.array(some.astype(np.int64) + 1), pa.array(known), pa.array(np.full(len(some), train, np.int64)), pa.array(base), pa.array(score), pa.array(-score / np.log10(2.0) / texts.sizes)]
+        tidy()
         return pa.table([*table.columns, *added], names=[*table.column_names, *names])
 
     kinds = ("bigint", "bigint", "bigint", "double", "double", "double")
