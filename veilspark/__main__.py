@@ -1,10 +1,12 @@
-"""Command line: python -m veilspark IN [OUT] [options]. Exit code 0, 1 if the run fails, 2 for wrong usage."""
+"""Command line: python -m veilspark IN [OUT] [options]. Exit code 0, 1 if the run fails, 2 for wrong usage, 3 for --fail-on-match."""
 
 from __future__ import annotations
 
 import argparse
+import itertools
 import json
 import sys
+import uuid
 from pathlib import Path
 
 from .errors import SanitizerError, is_sanitizer_error
@@ -25,10 +27,13 @@ def rules_from_json(text: str) -> list[Rule]:
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="veilspark", description="Redacts log lines and reports what was found.")
-    p.add_argument("input")
+    p.add_argument("input", help="file or folder; - for standard input")
     p.add_argument("output", nargs="?", help="folder; IN.sanitized if not given")
+    p.add_argument("--stdout", action="store_true", help="lines go to standard output, in order")
     p.add_argument("--key")
+    p.add_argument("--key-file")
     p.add_argument("--key-encoding", choices=["utf8", "hex"], default="utf8")
+    p.add_argument("--print-key", action="store_true")
     p.add_argument("--rules", help="JSON file with more rules")
     p.add_argument("--include", help="ids of built-in rules, comma-separated")
     p.add_argument("--exclude", help="ids to leave out")
@@ -37,7 +42,13 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--aggressive", action="store_true")
     p.add_argument("--no-json", action="store_true")
     p.add_argument("--report-only", action="store_true")
-    p.add_argument("--report", help="file for the counts as JSON")
+    p.add_argument("--report", help="file for the report: counts, totals, replacements, preview")
+    p.add_argument("--report-format", choices=["json", "text"], default="json")
+    p.add_argument("--replacements", type=int, default=1000, help="distinct replacements of a rule in the report, at most")
+    p.add_argument("--preview", type=int, default=0, help="characters of preview in the report")
+    p.add_argument("--context", type=int, default=0, help="characters around a replacement's first place")
+    p.add_argument("--fail-on-match", action="store_true", help="exit code 3 if anything was found")
+    p.add_argument("--quiet", action="store_true")
     return p
 
 
@@ -50,22 +61,40 @@ def main(argv: list[str] | None = None) -> int:
 
     from .plans.sanitizer import Sanitizer
     from .shipping import ship
+    from .sources.shared import shared_dir
 
     try:
         ids = [x for x in (args.include or ",".join(BUILTIN)).split(",") if x not in (args.exclude or "").split(",")]
         extra = rules_from_json(Path(args.rules).read_text(encoding="utf-8")) if args.rules else []
-        sanitizer = Sanitizer(args.key, args.key_encoding if args.key else "hex", ids, extra, args.aggressive, not args.no_json, always_values=_lines(args.always), never_values=_lines(args.never))
+        key = Path(args.key_file).read_text(encoding="utf-8").strip() if args.key_file else args.key
+        sanitizer = Sanitizer(key, args.key_encoding if key else "hex", ids, extra, args.aggressive, not args.no_json, always_values=_lines(args.always), never_values=_lines(args.never), context_chars=args.context)
+        if args.print_key:
+            sys.stderr.write(f"key: {sanitizer.key}\n")
         spark = SparkSession.builder.getOrCreate()
         ship(spark)
-        counted = {r.rule_id: r.n for r in sanitizer.sanitize_path(spark, args.input, None if args.report_only else args.output or f"{args.input}.sanitized").orderBy("rule_id").collect()}
-        lines = spark.read.text(args.input, lineSep="\n").count()
+        source = args.input
+        if source == "-":  # the driver's standard input, spooled as a table that executors read
+            source = f"{shared_dir(spark)}/stdin-{uuid.uuid4().hex}"
+            for k, rows in enumerate(iter(lambda: list(itertools.islice(sys.stdin, 100_000)), [])):
+                part = spark.createDataFrame([(r.removesuffix("\n"),) for r in rows], "value string").coalesce(1)
+                part.write.text(f"{source}/part={k:08d}", lineSep="\n")
+        target = None if args.report_only else args.output or (None if args.stdout else f"{args.input}.sanitized" if args.input != "-" else None)
+        kept = sanitizer.scanned(spark, source)
+        report = sanitizer.report_of(kept, args.preview, args.replacements)
+        if target is not None:
+            sanitizer.write(kept, target)
+        if args.stdout or (args.input == "-" and target is None and not args.report_only):
+            for row in kept.orderBy("source", "block", "row").select("redacted.output").toLocalIterator(prefetchPartitions=True):
+                sys.stdout.write(f"{row.output}\n")
+        text = report_text(report["line_count"], report["counts"])
         if args.report:
-            Path(args.report).write_text(json.dumps({"counts": counted, "total_matches": sum(counted.values()), "line_count": lines}), encoding="utf-8")
-        sys.stderr.write(report_text(lines, counted))
+            Path(args.report).write_text(json.dumps(report, default=str, ensure_ascii=False) if args.report_format == "json" else text, encoding="utf-8")
+        if not args.quiet:
+            sys.stderr.write(text)
     except (SanitizerError, OSError, TypeError, json.JSONDecodeError) as e:
         sys.stderr.write(f"{e}\n")
         return 2 if is_sanitizer_error(e) else 1
-    return 0
+    return 3 if args.fail_on_match and report["total_matches"] else 0
 
 
 if __name__ == "__main__":

@@ -40,6 +40,14 @@ def replacements(matches: DataFrame, most_per_rule: int | None = None) -> DataFr
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy("rule_id").orderBy("first"))).where(F.col("rank") <= most_per_rule).drop("rank")
 
 
+def truncated(matches: DataFrame, most_per_rule: int | None) -> bool:
+    """Whether a limit leaves distinct values of a rule out."""
+    if most_per_rule is None:
+        return False
+    distinct = matches.groupBy("rule_id", "original").count().groupBy("rule_id").agg(F.count("*").alias("d"))
+    return not distinct.where(F.col("d") > most_per_rule).isEmpty()
+
+
 def merge_replacements(parts: list[DataFrame], most_per_rule: int | None = None) -> DataFrame:
     """Replacement tables of disjoint parts as one: counts add up, the first context wins, the limit holds anew."""
     whole = parts[0]
@@ -66,5 +74,75 @@ def preview(df: DataFrame, line: str, order: list[str], preview_chars: int, reda
     return head.withColumn("__before", before).where(F.col("__before") < preview_chars).drop("__before").withColumn("changed", F.col("before") != F.col("after"))
 
 
+def highlighted(lines: DataFrame, redacted: str = "redacted", line: str = "line") -> DataFrame:
+    """lines with before_segments and after_segments, arrays of (text, changed): originals found in order in the line, tokens in the output."""
+    segment = "struct<text:string,changed:boolean>"
+    piece = lambda text, changed: F.struct(text.alias("text"), F.lit(changed).alias("changed"))
+    text, out = F.coalesce(F.col(line), F.lit("")), F.coalesce(F.col(f"{redacted}.output"), F.lit(""))
+
+    def located(state, m):
+        # In a JSON line the value stands as its encoded string.
+        encoded = F.regexp_extract(F.to_json(F.array(m["original"])), r'(?s)^\["(.*)"\]$', 1)
+        needle = _needle(encoded, m["original"], text, state["at"])
+        place = _place(needle, text, state["at"])
+        gap = F.substr(text, state["at"], place - state["at"])
+        added = F.filter(F.array(piece(gap, False), piece(needle, True)), lambda x: F.length(x["text"]) > 0)
+        found = (place > 0) & (F.length(m["original"]) > 0)
+        return F.struct(F.when(found, place + F.length(needle)).otherwise(state["at"]).alias("at"), F.when(found, F.concat(state["seen"], added)).otherwise(state["seen"]).alias("seen"))
+
+    start = F.struct(F.lit(1).alias("at"), F.array().cast(f"array<{segment}>").alias("seen"))
+    before = F.aggregate(f"{redacted}.matches", start, located, lambda s: F.concat(s["seen"], F.filter(F.array(piece(F.substr(text, s["at"]), False)), lambda x: F.length(x["text"]) > 0)))
+    rest, tokens = F.split(out, TOKEN), F.regexp_extract_all(out, F.lit(f"({TOKEN})"))
+    woven = F.flatten(F.transform(rest, lambda r, i: F.when(i < F.size(tokens), F.array(piece(r, False), piece(F.get(tokens, i), True))).otherwise(F.array(piece(r, False)))))
+    return lines.withColumns({"before_segments": before, "after_segments": F.filter(woven, lambda x: F.length(x["text"]) > 0)})
+
+
+#: Fixed value: the form of a replacement.
+TOKEN = "<[A-Z][A-Z0-9]*:[0-9a-f]{16}>"
+
+
+def _place(needle, text, at):
+    """Place of needle in text from `at` on, from 1; 0 if it is not there."""
+    found = F.instr(F.substr(text, at), needle)
+    return F.when(found > 0, found + at - 1).otherwise(0)
+
+
+def _needle(encoded, plain, text, at):
+    return F.when(_place(encoded, text, at) > 0, encoded).otherwise(plain)
+
+
+def merge_reports(reports: list[dict], most_per_rule: int | None = None, preview_chars: int | None = None) -> dict:
+    """Reports of disjoint parts, in their order, as one: sums; the first context of a value; limits hold anew.
+
+    For reports as Sanitizer.report() gives them, which are of bounded size; tables of any
+    size merge by merge_replacements().
+    """
+    counted: dict[str, int] = {}
+    rows: dict[tuple[str, str], dict] = {}
+    kept: dict[str, int] = {}
+    cut_off, preview, size = False, [], 0
+    for part in reports:
+        cut_off |= part["replacements_truncated"]
+        for rule, n in part["counts"].items():
+            counted[rule] = counted.get(rule, 0) + n
+        for row in part["replacements"]:
+            at = row["rule_id"], row["original"]
+            if at in rows:
+                rows[at]["n"] += row["n"]
+            elif most_per_rule is not None and kept.get(at[0], 0) >= most_per_rule:
+                cut_off = True
+            else:
+                kept[at[0]] = kept.get(at[0], 0) + 1
+                rows[at] = dict(row)
+        for line in part["preview"]:
+            if preview_chars is None or size < preview_chars:
+                preview.append(line)
+                size += len(line["after"] or "") + 1
+    return {
+        "counts": counted, "total_matches": sum(counted.values()), "line_count": sum(p["line_count"] for p in reports),
+        "replacements": list(rows.values()), "replacements_truncated": cut_off, "preview": preview,
+    }
+
+
 def report_text(line_count: int, counted: dict[str, int]) -> str:
     return "\n".join([f"lines: {line_count}", f"matches: {sum(counted.values())}", *(f"  {rule}: {n}" for rule, n in counted.items())]) + "\n"

@@ -6,15 +6,17 @@ import re
 import secrets
 from collections.abc import Iterable, Mapping
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import INVALID_KEY, INVALID_OPTION, INVALID_RULE, SanitizerError
 from ..functions.builtin_rules import BUILTIN
 from ..functions.rules import AllowList, KeyResolver, Rule, always_rule, compiled, resolve_rules, with_patterns
 from ..operators import report as R
-from ..operators.redact import Settings, Tokens, redact, redacted
+from ..operators.redact import MAX_LINE_CHARS, OVERLAP_CHARS, Once, Settings, Tokens, redact, redacted
 from ..sources import text as T
+from ..sources.shared import cut
 
 
 def generate_key(n_bytes: int = 32) -> str:
@@ -39,7 +41,8 @@ class Sanitizer:
 
     Rules are ids of built-in ones or Rule objects, in order of priority; always_* make a
     rule before all others, never_* exempt values. Equal values have equal tokens under
-    one key. Offsets count characters (code points).
+    one key. Offsets count characters (code points). A line beyond max_line_chars is looked
+    at in pieces, cut behind white space among a piece's last overlap_chars if there is some.
     """
 
     def __init__(
@@ -59,7 +62,13 @@ class Sanitizer:
         never_patterns: Iterable[str] = (),
         never_by_rule: Mapping[str, Iterable[str]] | None = None,
         context_chars: int = 0,
+        max_line_chars: int = MAX_LINE_CHARS,
+        overlap_chars: int = OVERLAP_CHARS,
     ):
+        if max_line_chars < 1:
+            raise SanitizerError(INVALID_OPTION, "max_line_chars is 1 at least")
+        if not 0 <= overlap_chars < max_line_chars:
+            raise SanitizerError(INVALID_OPTION, "overlap_chars is 0 at least and below max_line_chars")
         if context_chars < 0:
             raise SanitizerError(INVALID_OPTION, "context_chars is 0 at least")
         self.key = generate_key() if key is None else key
@@ -76,7 +85,7 @@ class Sanitizer:
                 raise SanitizerError(INVALID_OPTION, f"{p!r} is no pattern: {e}") from e
         allow = AllowList(frozenset(never_values), patterns, {k: frozenset(v) for k, v in (never_by_rule or {}).items()})
         self.rules = [with_patterns(r, aggressive) for r in found]
-        self.settings = Settings(tuple(self.rules), key_bytes(self.key, key_encoding), allow, json, context_chars)
+        self.settings = Settings(tuple(self.rules), key_bytes(self.key, key_encoding), allow, json, context_chars, max_line_chars, overlap_chars)
 
     # ------------------------------------------------ columns and tables
 
@@ -105,13 +114,15 @@ class Sanitizer:
         """Replaces whole values of the named columns, or of those whose names ask for it; empty ones and "-" stay."""
         named = self.columns_by_rule(df) if rules is None else dict(rules)
         ids = [r.id for r in self.rules]
-        settings, allowed = self.settings, self.settings.allow
+        allowed, tokens = self.settings.allow, Once(Tokens, self.settings)
 
         def replaced(rule: int):
-            @F.pandas_udf("string")
-            def run(values):
-                token, exempt = Tokens(settings).token, allowed.matcher()
-                return values.map(lambda v: v if v is None or v in ("", "-") or exempt(ids[rule], v) else token(rule, v))
+            @F.arrow_udf("string")
+            def run(values: pa.Array) -> pa.Array:
+                token, exempt = tokens().token, allowed.matcher()
+                coded = values.dictionary_encode()  # each distinct value of a batch once
+                new = [v if v in ("", "-") or exempt(ids[rule], v) else token(rule, v) for v in coded.dictionary.to_pylist()]
+                return pa.array(new, pa.string()).take(coded.indices)
 
             return run
 
@@ -134,25 +145,47 @@ class Sanitizer:
 
     def report(self, df: DataFrame, line: str, order: list[str], preview_chars: int = 0, most_per_rule: int | None = 1000) -> dict:
         """Summary on the driver: counts by rule, totals, replacements (most_per_rule a rule) and a preview of bounded size."""
-        matches = R.matches_of(df, order)
-        total = R.totals(df).first()
-        rows = R.replacements(matches, most_per_rule).orderBy("first").collect()
-        distinct = matches.groupBy("rule_id").agg(F.count("*").alias("n"), F.count_distinct("original").alias("d")).collect()
+        return self._report(cut(df.select(*order, line, "redacted")), line, order, preview_chars, most_per_rule)
+
+    def _report(self, kept: DataFrame, line: str, order: list[str], preview_chars: int, most_per_rule: int | None) -> dict:
+        """From rows that are stored: nothing here scans a line again."""
+        matches = R.matches_of(kept, order)
+        counted = {r.rule_id: r.n for r in R.counts(matches).collect()}
         return {
-            "counts": {r.rule_id: r.n for r in distinct},
-            "total_matches": total.total_matches,
-            "line_count": total.line_count,
-            "replacements": [r.asDict() for r in rows],
-            "replacements_truncated": most_per_rule is not None and any(r.d > most_per_rule for r in distinct),
-            "preview": [r.asDict() for r in R.preview(df, line, order, preview_chars).collect()] if preview_chars else [],
+            "counts": counted,
+            "total_matches": sum(counted.values()),
+            "line_count": kept.count(),
+            "replacements": [r.asDict() for r in R.replacements(matches, most_per_rule).orderBy("first").collect()],
+            "replacements_truncated": R.truncated(matches, most_per_rule),
+            "preview": [r.asDict() for r in R.preview(kept, line, order, preview_chars).collect()] if preview_chars else [],
         }
 
     def sanitize_path(self, spark: SparkSession, source: str, target: str | None) -> DataFrame:
-        """Reads lines, writes what they become (or nothing, for a report alone), and returns the counts by rule."""
-        df = self.transform(T.read_lines(spark, source), "line")
+        """Reads lines, writes what they become (or nothing, for the counts alone), and returns the counts by rule: one scan, counted as it writes."""
+        seen = Observation()
+        each = [F.sum(F.size(F.filter("redacted.matches", lambda m, r=r: m["rule_id"] == r.id))).alias(f"n{i}") for i, r in enumerate(self.rules)]
+        df = self.transform(T.read_lines(spark, source), "line").observe(seen, F.count(F.lit(1)).alias("lines"), *each)
+        out = df.select(F.col("redacted.output").alias("line"))
+        T.discard(out) if target is None else T.write_lines(out, target)
+        rows = [(r.id, n) for i, r in enumerate(self.rules) if (n := seen.get[f"n{i}"])]
+        return spark.createDataFrame(rows, "rule_id string, n long")
+
+    def sanitize_file(self, spark: SparkSession, source: str, target: str | None, preview_chars: int = 0, most_per_rule: int | None = 1000) -> dict:
+        """As sanitize_path(), with the whole report: lines are scanned once, outputs and matches kept in the shared folder for both."""
+        kept = self.scanned(spark, source)
         if target is not None:
-            T.write_lines(df.select(F.col("redacted.output").alias("line")), target)
-        return R.counts(df.select(F.explode("redacted.matches").alias("m")).select("m.rule_id"))
+            self.write(kept, target)
+        return self.report_of(kept, preview_chars, most_per_rule)
+
+    def scanned(self, spark: SparkSession, source: str) -> DataFrame:
+        """Lines of files with what they become, kept in the shared folder."""
+        return cut(self.transform(T.read_lines(spark, source), "line"))
+
+    def write(self, kept: DataFrame, target: str) -> None:
+        T.write_lines(kept.select(F.col("redacted.output").alias("line")), target)
+
+    def report_of(self, kept: DataFrame, preview_chars: int = 0, most_per_rule: int | None = 1000) -> dict:
+        return self._report(kept, "line", ["source", "block", "row"], preview_chars, most_per_rule)
 
     def sanitize_stream(self, stream: DataFrame, column: str = "line") -> DataFrame:
         """Streaming or static rows with `column` replaced; stateless, so append mode holds."""

@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Rows (source, line): lines end at \\n alone, \\r stays; bytes that are no UTF-8 become U+FFFD. Splits are aligned to lines by Spark."""
+    """Rows (source, block, row, line): lines end at \\n alone, \\r stays; bytes that are no UTF-8 become U+FFFD. Splits are aligned to lines by Spark.
+
+    The order of (source, block, row) is that of the lines in their files.
+    """
     rows = spark.read.text(path, lineSep="\n")
-    return rows.select(F.col("_metadata.file_path").alias("source"), F.col("_metadata.file_block_start").alias("block"), F.make_valid_utf8("value").alias("line"))
+    return rows.select(F.col("_metadata.file_path").alias("source"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"), F.make_valid_utf8("value").alias("line"))
 
 
 def stream_lines(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
