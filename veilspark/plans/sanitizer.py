@@ -163,7 +163,8 @@ class Sanitizer:
     def sanitize_path(self, spark: SparkSession, source: str, target: str | None) -> DataFrame:
         """Reads lines, writes what they become (or nothing, for the counts alone), and returns the counts by rule: one scan, counted as it writes."""
         seen = Observation()
-        each = [F.sum(F.size(F.filter("redacted.matches", lambda m, r=r: m["rule_id"] == r.id))).alias(f"n{i}") for i, r in enumerate(self.rules)]
+        of_rule = lambda rule: F.filter("redacted.matches", lambda m: m["rule_id"] == rule.id)
+        each = [F.sum(F.size(of_rule(r))).alias(f"n{i}") for i, r in enumerate(self.rules)]
         df = self.transform(T.read_lines(spark, source), "line").observe(seen, F.count(F.lit(1)).alias("lines"), *each)
         out = df.select(F.col("redacted.output").alias("line"))
         T.discard(out) if target is None else T.write_lines(out, target)
