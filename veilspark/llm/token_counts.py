@@ -5,14 +5,12 @@ boundaries with their offsets; two chunks are spliced at a boundary that both ha
 the overlap and that is proven stable: before a run of spaces after another character,
 which no piece of the vocabulary and so no merge covers. Where the overlap has no such
 boundary it is widened, and a chunk without one is lengthened, to the rest of the
-document if need be. A text of one chunk is counted by the units between its stable
-boundaries, whose counts a worker keeps.
+document if need be. A text of one chunk goes to the encoder as it is.
 """
 
 from __future__ import annotations
 
 import functools
-import re
 
 import numpy as np
 import pyarrow as pa
@@ -21,11 +19,8 @@ from pyspark.sql import DataFrame
 from ._common import documents, free_name, text_bytes
 from .word_ids import slices
 
-#: Characters of a chunk, of the first overlap, and units that a worker keeps the counts of.
-CHUNK_CHARS, OVERLAP_CHARS, KEPT_UNITS = 32_768, 512, 400_000
-
-#: Spaces and what follows them up to the next space.
-UNIT = re.compile(" +[^ ]*")
+#: Characters of a chunk and of the first overlap.
+CHUNK_CHARS, OVERLAP_CHARS = 32_768, 512
 
 
 class PieceCounter:
@@ -38,7 +33,6 @@ class PieceCounter:
         #: No piece has a space mark after another character, and the library changes no spaces.
         #: To the library a U+2581 in a text is a space; count() takes it for one.
         self.stable = all("▁" not in p.lstrip("▁") for p in pieces) and "▁" in pieces and self._keeps_spaces()
-        self.kept: dict[str, int] = {}
 
     def _keeps_spaces(self) -> bool:
         probe = "a  b \n c   "
@@ -48,18 +42,6 @@ class PieceCounter:
     def whole(self, text: str) -> int:
         return len(self.library.encode(text, num_threads=1)) if text else 0
 
-    def units(self, units: list[str]) -> list[int]:
-        """Tokens of each unit; its first space is the mark that the library puts before a text."""
-        kept = self.kept
-        fresh = [u for u in set(units) if u not in kept]
-        for u in fresh:
-            kept[u] = self.whole(u[1:]) if len(u) > 1 else 1  # a lone space mark is a piece of its own
-        out = [kept[u] for u in units]
-        if len(kept) > KEPT_UNITS:
-            for u in fresh[max(0, KEPT_UNITS + len(fresh) - len(kept)) :]:
-                del kept[u]
-        return out
-
     def chunk(self, text: str, start: int, stop: int) -> np.ndarray:
         """Where the encoder's tokens of text[start:stop] begin; a first space is the mark that the library puts before a text."""
         first = start + (text[start] == " ")
@@ -76,15 +58,10 @@ class PieceCounter:
 
     def count(self, text: str, chunk: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS) -> int:
         """Tokens of one text."""
-        if not text:
-            return 0
-        if not self.stable:
+        if len(text) < chunk or not self.stable:
             return self.whole(text)
-        text = text.replace("▁", " ")
-        marked = " " + text  # the mark that the library puts before it
+        marked = " " + text.replace("▁", " ")  # with the mark that the library puts before it
         end = len(marked)
-        if end <= chunk:
-            return sum(self.units(UNIT.findall(marked)))
         at = total = 0  # tokens of marked[:at] are counted; at is a stable boundary
         stop, wide = chunk, overlap
         ours = self.chunk(marked, 0, stop)
