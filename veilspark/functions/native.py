@@ -27,7 +27,7 @@ def luhn(digits: Column) -> Column:
 
 def mod97(text: Column) -> Column:
     """Remainder by 97 of an account number: first four characters last, letters as 10 to 35."""
-    moved = F.concat(F.substring(text, 5, 1000), F.substring(text, 1, 4))
+    moved = F.concat(F.substr(text, F.lit(5)), F.substring(text, 1, 4))
 
     def step(r: Column, c: Column) -> Column:
         v = F.when(c.rlike("[0-9]"), c.cast("int")).otherwise(F.ascii(c) - 55)

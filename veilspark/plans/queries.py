@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import native as N
-from ..functions.builtin_rules import BUILTIN
+from ..functions.builtin_rules import BUILTIN, host_rule
 from ..operators import report as R
 from ..sources.text import explode_lines, lines_of
 from .sanitizer import Sanitizer
@@ -18,6 +18,9 @@ KEY = "0123456789abcdef" * 4
 INNER, OUTER = (bytes(b ^ pad for b in bytes.fromhex(KEY).ljust(64, b"\0")).hex() for pad in (0x36, 0x5C))
 
 
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -140,7 +143,7 @@ def json_lines(spark, sf_dir):
 def key_catalog(spark, sf_dir):
     """Columns of the tables and the rules that their names ask for."""
     s = Sanitizer(KEY)
-    rows = [(name, c, rule) for name in ("customer", "documents", "events", "pages", "conversations", "supplier") for c, rule in sorted(s.columns_by_rule(table(spark, sf_dir, name)).items())]
+    rows = [(name, c, rule) for name in TABLES for c, rule in sorted(s.columns_by_rule(table(spark, sf_dir, name)).items())]
     return spark.createDataFrame(rows, "table_name string, column_name string, rule_id string")
 
 
@@ -178,11 +181,130 @@ def report_preview(spark, sf_dir):
     return out.withColumn("line_no", F.col("line_no").cast("long"))
 
 
+# ---------------------------------------------------------------- one query a rule, over lines made of keys
+
+
+def _made(spark, sf_dir, source: str, key: str, line, rules: list, **options) -> DataFrame:
+    """Rows (key, output): a line for each row of a table, redacted."""
+    made = table(spark, sf_dir, source).select(key, Sanitizer(KEY, rules=rules, json=False, **options).column(line).alias("r"))
+    return made.select(key, F.col("r.output").alias("output"))
+
+
+def _digits(number, width: int):
+    return F.lpad(number.cast("string"), width, "0")
+
+
+def _order():
+    return F.col("o_orderkey")
+
+
+def _customer():
+    return F.col("c_custkey")
+
+
+def card_lines(spark, sf_dir):
+    """Card numbers: layout, issuer and Luhn check of the rule."""
+    digits = F.concat(F.lit("4"), _digits(_order() * 7919 % 10**14, 14), (_order() % 10).cast("string"))
+    fours = F.concat_ws(" ", *(F.substring(digits, 4 * k + 1, 4) for k in range(4)))
+    return _made(spark, sf_dir, "orders", "o_orderkey", F.concat(F.lit("paid by "), F.when(_order() % 2 == 0, digits).otherwise(fours), F.lit(" today")), ["paymentInfo"])
+
+
+def account_lines(spark, sf_dir):
+    """Account numbers with right check digits for even keys: the rule's countries and remainder by 97."""
+    body = F.concat(F.lit("WEST"), _digits(_customer(), 14))
+    right = 98 - N.mod97(F.concat(F.lit("GB00"), body))
+    checked = F.concat(F.when(_customer() % 4 == 2, F.lit("QQ")).otherwise(F.lit("GB")), _digits(F.when(_customer() % 2 == 0, right).otherwise(_customer() % 97), 2), body)
+    return _made(spark, sf_dir, "customer", "c_custkey", F.concat(F.lit("to "), checked), ["paymentInfo"])
+
+
+def security_number_lines(spark, sf_dir):
+    """Social security and tax numbers: areas, groups and serials that are never given out."""
+    text = F.concat_ws("-", _digits(_order() * 31 % 1000, 3), _digits(_order() * 7 % 100, 2), _digits(F.when(_order() % 11 == 0, F.lit(0)).otherwise(_order() * 13 % 10000), 4))
+    return _made(spark, sf_dir, "orders", "o_orderkey", F.concat(F.lit("no "), text), ["govIds"])
+
+
+def health_number_lines(spark, sf_dir):
+    """Health service numbers: the check by 11."""
+    d = _digits(_order() * 104_729 % 10**10, 10)
+    return _made(spark, sf_dir, "orders", "o_orderkey", F.concat_ws(" ", F.lit("id"), F.substring(d, 1, 3), F.substring(d, 4, 3), F.substring(d, 7, 4)), ["govIds"])
+
+
+def prescriber_lines(spark, sf_dir):
+    """Prescriber numbers: the check digit."""
+    return _made(spark, sf_dir, "orders", "o_orderkey", F.concat(F.lit("by AB"), _digits(_order() * 7919 % 10**7, 7)), ["healthInfo"])
+
+
+def mac_lines(spark, sf_dir):
+    """Hardware addresses in three layouts have tokens of their own."""
+    h = F.lower(F.lpad(F.hex(_order() * 2_654_435_761 % 2**47), 12, "0"))
+    two = lambda sep: F.concat_ws(sep, *(F.substring(h, 2 * k + 1, 2) for k in range(6)))
+    text = F.when(_order() % 3 == 0, two(":")).when(_order() % 3 == 1, two("-")).otherwise(F.concat_ws(".", *(F.substring(h, 4 * k + 1, 4) for k in range(3))))
+    return _made(spark, sf_dir, "orders", "o_orderkey", F.concat(F.lit("nic "), text, F.lit(" up")), ["ips"])
+
+
+def phone_lines(spark, sf_dir):
+    """Numbers behind tel: of 4 to 19 digits; 7 to 15 are a phone number."""
+    text = F.substring(F.concat(F.lit("7"), _digits(_order(), 18)), 1, 4)
+    text = F.concat(text, F.expr("substring('123456789123456', 1, cast(o_orderkey % 16 as int))"))
+    return _made(spark, sf_dir, "orders", "o_orderkey", F.concat(F.lit("tel:"), text, F.lit(";")), ["phoneNumbers"])
+
+
+def cookie_lines(spark, sf_dir):
+    """Session identifiers of 0 to 15 characters; 8 are needed."""
+    text = F.expr("substring(md5(cast(o_orderkey as string)), 1, cast(o_orderkey % 16 as int))")
+    return _made(spark, sf_dir, "orders", "o_orderkey", F.concat(F.lit("x; sid="), text, F.lit("; y")), ["sessionCookies"])
+
+
+def home_lines(spark, sf_dir):
+    """Users in home paths; the folders themselves are none."""
+    name = F.when(_order() % 5 == 0, F.lit(".")).when(_order() % 5 == 1, F.lit("..")).otherwise(F.concat(F.lit("user"), (_order() % 97).cast("string")))
+    path = F.when(_order() % 2 == 0, F.concat(F.lit("/home/"), name, F.lit("/x"))).otherwise(F.concat(F.lit("C:\\Users\\"), name, F.lit("\\x")))
+    return _made(spark, sf_dir, "orders", "o_orderkey", path, ["paths"])
+
+
+def account_name_lines(spark, sf_dir):
+    """Accounts behind a domain; system accounts and what lies below a path stay."""
+    name = F.when(_order() % 7 == 0, F.lit("SYSTEM")).otherwise(F.concat(F.lit("user"), (_order() % 97).cast("string")))
+    return _made(spark, sf_dir, "orders", "o_orderkey", F.concat(F.when(_order() % 3 == 0, F.lit("C:\\dir\\CORP\\")).otherwise(F.lit("by CORP\\")), name, F.lit(" ok")), ["users"])
+
+
+def place_lines(spark, sf_dir):
+    """Pairs of coordinates: only places on earth, and not the origin."""
+    lat, lon = _order() * 17 % 200 - 100, _order() * 23 % 400 - 200
+    zero = _order() % 13 == 0
+    text = F.concat(F.lit("at ("), F.when(zero, F.lit(0)).otherwise(lat).cast("string"), F.lit(".000, "), F.when(zero, F.lit(0)).otherwise(lon).cast("string"), F.lit(".000)"))
+    return _made(spark, sf_dir, "orders", "o_orderkey", text, ["geoLocation"])
+
+
+def host_lines(spark, sf_dir):
+    """Names with top-level domains, and file names that look like them."""
+    ends = F.array(*map(F.lit, HOST_ENDS))
+    name = F.concat(F.lit("a"), (_order() % 89).cast("string"), F.lit("."), F.get(ends, (_order() % len(HOST_ENDS)).cast("int")))
+    return _made(spark, sf_dir, "orders", "o_orderkey", F.concat(F.lit("see "), name, F.lit(" now")), ["hosts"])
+
+
+HOST_ENDS = ("com", "xyz", "ninja", "js", "tar.gz", "go", "internal", "rb", "co.uk", "db", "py")
+
+
+def host_counts(spark, sf_dir):
+    """Hosts of pages' addresses, by a list of domains of one's own."""
+    pages = table(spark, sf_dir, "pages").select("page_id", F.regexp_replace("url", "[?#].*$", "").alias("line"))
+    found = Sanitizer(KEY, rules=[host_rule(("com", "org", "net", "example"))], json=False).transform(pages)
+    return R.matches_of(found, ["page_id"]).groupBy("original").agg(F.count("*").alias("n"))
+
+
+def allowed_addresses(spark, sf_dir):
+    """Addresses that are left when an allow list exempts those of a network and one value."""
+    found = _redacted(spark, sf_dir, rules=["ips"], never_patterns=[r"10\.\d+\.\d+\.\d+"], never_values=["192.168.1.1"])
+    return R.matches_of(found, ["doc_id", "line_no"]).groupBy("original").agg(F.count("*").alias("n"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         line_framing, ip_counts, ip_replacements, ip_first_three, mail_lines, mail_replacements_merged, mail_allowlist, source_tokens, customer_columns, native_tokens, luhn_numbers,
         reserved_addresses, account_remainders, entropy_of_sources, json_lines, key_catalog, sanitized_documents, sanitized_pages, sanitized_conversations, sanitized_json, aggressive_documents, report_preview,
+        card_lines, account_lines, security_number_lines, health_number_lines, prescriber_lines, mac_lines, phone_lines, cookie_lines, home_lines, account_name_lines, place_lines, host_lines, host_counts, allowed_addresses,
     )
 }
 
@@ -215,6 +337,20 @@ def _token(rule: str, prefix: str, value: str) -> str:
     return f"'<{prefix}:' || substr(sha256(unhex('{OUTER}') || unhex({inner})), 1, 16) || '>'"
 
 
+def _put(source: str, key: str, before: str, value: str, after: str, taken: str, rule: str, prefix: str, made: str = "") -> str:
+    """Lines before || value || after, with the value's token where it is taken."""
+    return f"SELECT {key}, {before} || CASE WHEN {taken} THEN {_token(rule, prefix, value)} ELSE {value} END || {after} AS output FROM (SELECT *{made} FROM {source})"
+
+
+_LUHN = "(list_sum(list_transform(range(1, 17), lambda i: CASE WHEN i % 2 = 0 THEN d[i]::INT WHEN d[i]::INT > 4 THEN 2 * d[i]::INT - 9 ELSE 2 * d[i]::INT END)) % 10 = 0)"
+_CARD = ", '4' || lpad((o_orderkey * 7919 % 100000000000000)::VARCHAR, 14, '0') || (o_orderkey % 10)::VARCHAR AS d"
+_SPACED = "(CASE WHEN o_orderkey % 2 = 0 THEN d ELSE d[1:4] || ' ' || d[5:8] || ' ' || d[9:12] || ' ' || d[13:16] END)"
+_KEYS = ", ".join(f"({i}, '{r.id}', '{k}', {exact})" for i, r in enumerate(BUILTIN.values()) for exact, keys in (("true", r.json_keys), ("false", r.json_key_contains)) for k in keys)
+_SSN = (
+    ", lpad((o_orderkey * 31 % 1000)::VARCHAR, 3, '0') AS a, lpad((o_orderkey * 7 % 100)::VARCHAR, 2, '0') AS g,"
+    " lpad((CASE WHEN o_orderkey % 11 = 0 THEN 0 ELSE o_orderkey * 13 % 10000 END)::VARCHAR, 4, '0') AS s"
+)
+
 ORACLES: dict[str, str] = {
     "line_framing": rf"WITH {_LINES} SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_lines, coalesce(c, 0)::BIGINT AS n_chars FROM documents d LEFT JOIN (SELECT doc_id, count(*) AS n, sum(length(line)) AS c FROM l0 GROUP BY doc_id) USING (doc_id)",
     "ip_counts": f"{_IPS} SELECT 'ips' AS rule_id, count(*) AS n FROM m HAVING count(*) > 0",
@@ -243,4 +379,53 @@ k AS (SELECT event_id, n, ch, count(*) AS m FROM c WHERE ch <> '' GROUP BY ALL)
 SELECT e.event_id, coalesce(round(1000 * h), 0)::BIGINT AS millibits FROM events e LEFT JOIN (SELECT event_id, sum(-(m / n) * log2(m / n)) AS h FROM k GROUP BY event_id) USING (event_id)
 """,
     "json_lines": r"SELECT coalesce(trim(props), '')[1:1] IN ('{', '[') AS is_json, regexp_replace(lower(event_type), '[-_.\s]', '', 'g') AS key, count(*) AS n FROM events GROUP BY ALL",
+    "key_catalog": rf"""
+WITH k(priority, rule_id, key, exact) AS (VALUES {_KEYS}),
+n AS (SELECT priority, rule_id, regexp_replace(lower(key), '[-_.\s]', '', 'g') AS key, exact FROM k),
+c AS (SELECT table_name, column_name, regexp_replace(lower(column_name), '[-_.\s]', '', 'g') AS name FROM information_schema.columns WHERE table_name IN ({", ".join(f"'{t}'" for t in TABLES)}))
+SELECT table_name, column_name, arg_min(rule_id, (CASE WHEN exact THEN 0 ELSE 1 END, priority)) AS rule_id
+FROM c JOIN n ON CASE WHEN exact THEN name = key ELSE contains(name, key) END GROUP BY table_name, column_name
+""",
+    "sanitized_json": "SELECT event_id, CASE WHEN json_valid(props) AND trim(props)[1:1] IN ('{', '[') THEN json(props)::VARCHAR ELSE props END AS props FROM events",
+    "card_lines": _put("orders", "o_orderkey", "'paid by '", _SPACED, "' today'", _LUHN, "paymentInfo", "R", _CARD),
+    "account_lines": _put(
+        "(SELECT *, 98 - (('32142829' || lpad(c_custkey::VARCHAR, 14, '0') || '161100')::HUGEINT % 97) AS fit FROM customer)", "c_custkey", "'to '", "v", "''", "c_custkey % 4 <> 2 AND q = fit", "paymentInfo", "R",
+        ", CASE WHEN c_custkey % 2 = 0 THEN fit ELSE c_custkey % 97 END AS q, CASE WHEN c_custkey % 4 = 2 THEN 'QQ' ELSE 'GB' END || lpad((CASE WHEN c_custkey % 2 = 0 THEN fit ELSE c_custkey % 97 END)::VARCHAR, 2, '0') || 'WEST' || lpad(c_custkey::VARCHAR, 14, '0') AS v",
+    ),
+    "security_number_lines": _put(
+        "orders", "o_orderkey", "'no '", "(a || '-' || g || '-' || s)", "''",
+        "s <> '0000' AND CASE WHEN a[1:1] = '9' THEN g::INT BETWEEN 70 AND 88 OR g::INT BETWEEN 90 AND 92 OR g::INT BETWEEN 94 AND 99 ELSE a NOT IN ('000', '666') AND g <> '00' END", "govIds", "R", _SSN,
+    ),
+    "health_number_lines": _put(
+        "orders", "o_orderkey", "'id '", "(d[1:3] || ' ' || d[4:6] || ' ' || d[7:10])", "''", "d <> '0000000000' AND (11 - list_sum(list_transform(range(1, 10), lambda i: d[i]::INT * (11 - i))) % 11) % 11 = d[10]::INT",
+        "govIds", "R", ", lpad((o_orderkey * 104729 % 10000000000)::VARCHAR, 10, '0') AS d",
+    ),
+    "prescriber_lines": _put("orders", "o_orderkey", "'by '", "('AB' || d)", "''", "(d[1]::INT + d[3]::INT + d[5]::INT + 2 * (d[2]::INT + d[4]::INT + d[6]::INT)) % 10 = d[7]::INT", "healthInfo", "R", ", lpad((o_orderkey * 7919 % 10000000)::VARCHAR, 7, '0') AS d"),
+    "mac_lines": _put(
+        "(SELECT *, lower(lpad(to_hex((o_orderkey * 2654435761 % 140737488355328)::BIGINT), 12, '0')) AS h FROM orders)", "o_orderkey", "'nic '", "v", "' up'", "true", "ips", "IP",
+        ", CASE o_orderkey % 3 WHEN 2 THEN h[1:4] || '.' || h[5:8] || '.' || h[9:12] ELSE replace(array_to_string(list_transform(range(0, 6), lambda k: h[2 * k + 1 : 2 * k + 2]), ':'), ':', CASE o_orderkey % 3 WHEN 0 THEN ':' ELSE '-' END) END AS v",
+    ),
+    "phone_lines": _put("orders", "o_orderkey", "'tel:'", "v", "';'", "length(v) BETWEEN 7 AND 15", "phoneNumbers", "PHONE", ", ('7' || lpad(o_orderkey::VARCHAR, 18, '0'))[1:4] || '123456789123456'[1:(o_orderkey % 16)::INT] AS v"),
+    "cookie_lines": _put("orders", "o_orderkey", "'x; '", "v", "'; y'", "length(v) >= 12", "sessionCookies", "R", ", 'sid=' || md5(o_orderkey::VARCHAR)[1:(o_orderkey % 16)::INT] AS v"),
+    "home_lines": _put(
+        "orders", "o_orderkey", "CASE o_orderkey % 2 WHEN 0 THEN '/home/' ELSE 'C:\\Users\\' END", "v", "CASE o_orderkey % 2 WHEN 0 THEN '/x' ELSE '\\x' END", "v NOT IN ('.', '..')", "paths", "R",
+        ", CASE o_orderkey % 5 WHEN 0 THEN '.' WHEN 1 THEN '..' ELSE 'user' || (o_orderkey % 97)::VARCHAR END AS v",
+    ),
+    "account_name_lines": _put(
+        "orders", "o_orderkey", "CASE o_orderkey % 3 WHEN 0 THEN 'C:\\dir\\CORP\\' ELSE 'by CORP\\' END", "v", "' ok'", "o_orderkey % 3 <> 0 AND v <> 'SYSTEM'", "users", "USER",
+        ", CASE o_orderkey % 7 WHEN 0 THEN 'SYSTEM' ELSE 'user' || (o_orderkey % 97)::VARCHAR END AS v",
+    ),
+    "place_lines": _put(
+        "orders", "o_orderkey", "'at '", "('(' || lat::VARCHAR || '.000, ' || lon::VARCHAR || '.000)')", "''", "abs(lat) <= 90 AND abs(lon) <= 180 AND NOT (lat = 0 AND lon = 0)", "geoLocation", "GEO",
+        ", CASE o_orderkey % 13 WHEN 0 THEN 0 ELSE o_orderkey * 17 % 200 - 100 END AS lat, CASE o_orderkey % 13 WHEN 0 THEN 0 ELSE o_orderkey * 23 % 400 - 200 END AS lon",
+    ),
+    "host_lines": _put(
+        "orders", "o_orderkey", "'see '", "v", "' now'", f"({list(HOST_ENDS)})[o_orderkey % {len(HOST_ENDS)} + 1] IN ('com', 'xyz', 'ninja', 'internal', 'co.uk')", "hosts", "HOST",
+        f", 'a' || (o_orderkey % 89)::VARCHAR || '.' || ({list(HOST_ENDS)})[o_orderkey % {len(HOST_ENDS)} + 1] AS v",
+    ),
+    "host_counts": r"""
+WITH u AS (SELECT regexp_extract(url, '^https?://(?:[^/@]+@)?([^/?#:]+)', 1) AS original FROM pages)
+SELECT original, count(*) AS n FROM u WHERE regexp_matches(original, '[.](com|org|net|example)$') GROUP BY original
+""",
+    "allowed_addresses": f"{_IPS} SELECT ip AS original, count(*) AS n FROM m WHERE NOT (ip LIKE '10.%') AND ip <> '192.168.1.1' GROUP BY ip",
 }
