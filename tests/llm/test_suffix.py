@@ -67,3 +67,37 @@ def test_multikey_sort():
             classes = side.classes(depth)
             long = [i for i in range(n) if len(strings[i]) >= depth]
             assert len({(int(classes[i]), strings[i][:depth]) for i in long}) == len({int(classes[i]) for i in long}) == len({strings[i][:depth] for i in long})
+
+
+def test_buckets_that_end_among_equal_windows():
+    """Without the comparison of neighbours a window alone at each side of a cut is lost."""
+    import pyarrow as pa
+
+    window = lambda c: c.encode() * 24
+    table = lambda rows: [pa.record_batch({"window": pa.array([window(w) for w, _, _ in rows], pa.binary()), "chunk": pa.array([c for _, c, _ in rows]), "places": pa.array([p for _, _, p in rows], pa.list_(pa.int64()))})]
+    one = next(S.sorted_windows(table([("b", 1, [5]), ("a", 1, [0, 9]), ("c", 1, [7])]), 24)).to_pylist()
+    two = next(S.sorted_windows(table([("c", 2, [3]), ("d", 2, [1])]), 24)).to_pylist()
+    assert sorted((r["chunk"], r["start"]) for r in one + two if r["edge"] is None) == [(1, 0), (1, 9)]
+    assert sorted((r["chunk"], r["start"], r["edge"][:1], r["n"]) for r in one + two if r["edge"] and r["n"] == 1) == [(1, 7, b"c", 1), (2, 1, b"d", 1), (2, 3, b"c", 1)]
+
+
+def test_cuts_among_copies(spark):
+    """A passage that many documents share, each of its windows once a chunk, in buckets of two rows."""
+    draw = random.Random(9)
+    passage = "".join(draw.choice("abcdefgh ") for _ in range(90))
+    texts = ["".join(draw.choice("ijklmnop ") for _ in range(40)) + passage + str(i) for i in range(40)] + [passage[:30], "q" * 10]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(20)
+    want = plain([t.encode() for t in texts], 24)
+    for rows in (2, 7, 1 << 16):
+        got = {r.doc_id: (bytes(r.kept_bytes), r.n_removed, r.n_spans) for r in S.suffix_dedup(docs, length=24, bucket_rows=rows).collect()}
+        assert [got[i] for i in range(len(texts))] == want
+
+
+def test_multikey_sort_of_large_and_equal_rows():
+    draw = np.random.default_rng(8)
+    words = draw.integers(0, 3, (3000, 4)).astype(np.uint64)
+    words[:500] = 1
+    sizes = draw.integers(0, 4, 3000)
+    order = S.multikey_sort(words, sizes)
+    rows = [(*words[i].tolist(), int(sizes[i])) for i in order]
+    assert rows == sorted(rows) and sorted(order.tolist()) == list(range(3000))

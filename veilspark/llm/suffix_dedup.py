@@ -8,29 +8,31 @@ anchor, or the half before it, is repeated; hashes of halves are counted first.
 
 The remaining suffixes are range-partitioned by their leading bytes with sampled
 splitters. A bucket sorts its suffixes, and what stands before them read backwards, by
-multikey quicksort with words of eight bytes. Neighbours' common prefixes give classes
-of suffixes equal to any depth; two windows are equal when the parts behind and before
-the suffix's start are. Suffixes with equal leading bytes are never parted by a splitter,
-so that nothing is left to compare across a boundary but groups beyond a bucket's bound:
-those are known beforehand from the counts of halves, and their windows are counted by
-their hashes over all executors instead.
+three-way multikey quicksort over words of eight bytes. Neighbours' common prefixes give
+classes of suffixes equal to any depth; two windows are equal when the parts behind and
+before the suffix's start are. Suffixes with equal leading halves stay in one bucket as
+long as one holds them. Of a half with more than `bucket_rows` suffixes each window is a
+suffix of its own: these are range-partitioned and sorted the same way, but their buckets
+end anywhere, also among equal ones, and a bucket's first and last windows are compared
+with those of its neighbours. Both ways compare bytes, so the bound changes no result.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._common import by_chunk, chunked, ddl, documents, free_name, stored, text_bytes
+from ._common import by_chunk, chunked, ddl, documents, free_name, stored, text_bytes, tidy, unpack_table
+from .ranges import ascending, bits_of, heard, planes, ranges_for, spans, unascending, unplanes
 
 LENGTH = 200
 
-#: Suffixes with the same leading half that one bucket takes at most; beyond, windows are counted by hash.
+#: Suffixes with the same leading half that one bucket takes at most; beyond, their windows are sorted each by itself.
 BUCKET_ROWS = 1 << 16
 
 #: Window starts that are looked at together.
@@ -136,20 +138,33 @@ def suffixes(corpus: Corpus, length: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([behind, before]), np.concatenate([one << np.uint64(1), two << np.uint64(1) | np.uint64(1)]).view(np.int64)
 
 
+#: Rows that multikey quicksort hands to a plain sort of their bytes.
+FEW = 24
+
+
 def multikey_sort(words: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Order of the rows of words, ties by size: sort by one word, then within ties by the next."""
-    order = np.argsort(words[:, 0], kind="stable")
-    tied = words[order[1:], 0] == words[order[:-1], 0]
-    columns = [*(words[:, j] for j in range(1, words.shape[1])), sizes]
-    for column in columns:
-        if not tied.any():
-            break
-        among = np.append(tied, False) | np.append(False, tied)
-        group = np.cumsum(np.append(0, ~tied))[among]
-        mine = order[among]
-        mine = mine[np.lexsort((column[mine], group))]
-        order[among] = mine
-        tied &= column[order[1:]] == column[order[:-1]]
+    """Order of the rows of words, ties by size: three-way quicksort on one word; equal rows go on with the next word."""
+    words = words.astype(np.uint64)
+    order, width = np.arange(len(words)), words.shape[1]
+    stack = [(0, len(words), 0)]
+    while stack:
+        low, high, depth = stack.pop()
+        if high - low < 2:
+            continue
+        mine = order[low:high]
+        if high - low <= FEW:
+            rows = words[mine, depth:].tolist()
+            order[low:high] = mine[sorted(range(len(rows)), key=lambda i: (rows[i], sizes[mine[i]]))]
+            continue
+        if depth == width:
+            order[low:high] = mine[np.argsort(sizes[mine], kind="stable")]
+            continue
+        column = words[mine, depth]
+        pivot = np.sort(column[:: max(1, len(column) // 9)])[min(4, (len(column) - 1) // 2)]
+        less, more = column < pivot, column > pivot
+        a, b = low + int(less.sum()), high - int(more.sum())
+        order[low:high] = np.concatenate([mine[less], mine[~(less | more)], mine[more]])
+        stack += [(low, a, depth), (a, b, depth + 1), (b, high, depth)]
     return order
 
 
@@ -203,43 +218,54 @@ def _texts(table: pa.Table, text: str) -> Corpus:
 
 def repeats(chunks: DataFrame, text: str, length: int = LENGTH, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Rows (chunk, start, stop): parts of the chunk's texts, end to end, that repeated windows cover."""
+    ranges = ranges_for(chunks)
 
     def halves(batches):
         for batch in batches:
             for number, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                from ._common import unpack_table
-
-                hashes, n = np.unique(suffixes(_texts(unpack_table(blob), text), length)[1], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(hashes), number)), pa.array(hashes), pa.array(n.astype(np.int32))], names=["chunk", "h", "n"])
-
-    counted = chunks.select("chunk", "blob").mapInArrow(halves, "chunk long, h long, n int")
-    counted = counted.withColumn("n", F.sum("n").over(W.partitionBy("h"))).where("n > 1")
+                hashes, n = np.unique(suffixes(_texts(unpack_table(blob), text), length)[1].view(np.uint64), return_counts=True)
+                full = spans(hashes, ranges)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([r for r, _, _ in full], pa.int32()), pa.array([number] * len(full), pa.int64()), pa.array([b - a for _, a, b in full], pa.int32()),
+                     pa.array([ascending(hashes[a:b]) for _, a, b in full], pa.binary()), pa.array([planes(n[a:b]) for _, a, b in full], pa.binary())],
+                    names=["range", "chunk", "n", "hashes", "times"],
+                )
+                tidy()
+
+    def total(table: pa.Table) -> pa.Table:
+        sizes = table.column("n").to_numpy()
+        hashes, times = (np.concatenate([f(b, k) for b, k in zip(table.column(c).to_pylist(), sizes.tolist(), strict=True)]) for c, f in (("hashes", unascending), ("times", unplanes)))
+        order = np.argsort(hashes, kind="stable")
+        head = np.flatnonzero(np.append(True, hashes[order[1:]] != hashes[order[:-1]]))
+        sums = np.empty(len(hashes), np.uint64)
+        sums[order] = np.repeat(np.add.reduceat(times[order], head), np.diff(np.append(head, len(hashes))))
+        return pa.table({"chunk": table.column("chunk"), "range": table.column("range"), "bits": bits_of(sums > 1, sizes), "hot": bits_of(sums > bucket_rows, sizes)})
+
+    sent = chunks.select("chunk", "blob").mapInArrow(halves, "range int, chunk long, n int, hashes binary, times binary")
+    counted = sent.groupBy("range").applyInArrow(total, "chunk long, range int, bits binary, hot binary")
 
     def contexts(number: int, docs: pa.Table, told: pa.Table) -> pa.Table:
         corpus = _texts(docs, text)
         rows, hashes = suffixes(corpus, length)
-        known = told.column("h").to_numpy()
-        order = np.argsort(known)
-        known, total = known[order], told.column("n").to_numpy()[order]
-        at = np.searchsorted(known, hashes)
-        at[at == len(known)] = 0
-        hit = known[at] == hashes if len(known) else np.zeros(len(hashes), bool)
-        rows, total = rows[hit], total[at[hit]] if len(known) else hashes[hit]
+        known, of = np.unique(hashes.view(np.uint64), return_inverse=True)
+        hit, hot = (heard(known, told, ranges, c)[of] for c in ("bits", "hot"))
         data = corpus.data
         alike: dict[tuple, list[int]] = {}
-        for s, a, b in rows[total <= bucket_rows].tolist():
+        for s, a, b in rows[hit & ~hot].tolist():
             alike.setdefault((data[s : s + length - a], data[s - b : s], a, b), []).append(s)
         out = [(number, r, f, a, b, None, places) for (r, f, a, b), places in alike.items()]
-        for s, a, b in rows[total > bucket_rows].tolist():  # every window of a suffix too common for one bucket
-            starts = np.arange(s - b, s - a + 1)
-            for h, p in zip(_hash_rows(_slices_at(corpus, starts, length)).view(np.int64).tolist(), starts.tolist(), strict=True):
-                alike.setdefault(h, []).append(p)
-        out += [(number, None, None, 0, 0, h, places) for h, places in alike.items() if isinstance(h, int)]
+        windows: dict[bytes, list[int]] = {}
+        for s, a, b in rows[hot].tolist():
+            for p in range(s - b, s - a + 1):
+                windows.setdefault(data[p : p + length], []).append(p)
+        out += [(number, None, None, 0, 0, w, places) for w, places in windows.items()]
         columns = list(zip(*out, strict=True)) if out else [[]] * 7
-        kinds = [pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64())]
-        return pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["chunk", "right", "left", "least", "most", "window", "places"])
+        kinds = [pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64())]
+        made = pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["chunk", "right", "left", "least", "most", "window", "places"])
+        tidy()
+        return made
 
-    schema = "chunk long, right binary, left binary, least int, most int, window long, places array<bigint>"
+    schema = "chunk long, right binary, left binary, least int, most int, window binary, places array<bigint>"
     found = stored(by_chunk(chunks, counted, contexts, schema))  # range partitioning reads it twice
     spark = chunks.sparkSession
 
@@ -257,11 +283,51 @@ def repeats(chunks: DataFrame, text: str, length: int = LENGTH, bucket_rows: int
         start = np.array([p for x in at for p in x], np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(np.repeat(numbers[rows], times)), pa.array(start + np.repeat(low, times)), pa.array(start + np.repeat(high, times))], names=["chunk", "start", "stop"])
 
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-found.where("window is null").count() // bucket_rows))
-    some = found.where("window is null").repartitionByRange(buckets, F.substring("right", 1, length - length // 2))
-    spans = some.select("chunk", "right", "left", "least", "most", "places").mapInArrow(bucket, "chunk long, start long, stop long")
-    hot = found.where("window is not null").withColumn("n", F.sum(F.size("places")).over(W.partitionBy("window"))).where("n > 1")
-    return spans.union(hot.select("chunk", F.explode("places").alias("start")).select("chunk", "start", F.col("start") + length))
+    n = found.agg(F.count("right").alias("some"), F.count("window").alias("hot")).first()
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    some = found.where("window is null").repartitionByRange(max(parts, -(-n.some // bucket_rows)), F.substring("right", 1, length - length // 2))
+    covered = some.select("chunk", "right", "left", "least", "most", "places").mapInArrow(bucket, "chunk long, start long, stop long")
+    if not n.hot:
+        return covered
+    hot = found.where("window is not null").select("window", "chunk", "places").repartitionByRange(max(parts, -(-n.hot // bucket_rows)), "window", "chunk")
+    return covered.union(_across(hot.mapInArrow(functools.partial(sorted_windows, length=length), _SORTED)))
+
+
+_SORTED = "chunk long, start long, stop long, edge binary, n long"
+
+
+def sorted_windows(batches, length: int):
+    """A bucket of windows in multikey order: places of those that repeat in it, and its first and last window with their numbers of places."""
+    held = pa.Table.from_batches(list(batches)) if (batches := [b for b in batches if b.num_rows]) else None
+    if held is None:
+        return
+    windows, places, numbers = held.column("window").to_pylist(), held.column("places").to_pylist(), held.column("chunk").to_numpy()
+    width = -(-length // 8) * 8
+    words = np.frombuffer(b"".join([w.ljust(width, b"\0") for w in windows]), ">u8").reshape(-1, width // 8)
+    order = multikey_sort(words, np.zeros(len(words), np.int64))
+    same = (words[order[1:]] == words[order[:-1]]).all(axis=1)
+    head = np.flatnonzero(np.append(True, ~same))
+    group = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(order))))
+    times = np.fromiter(map(len, places), np.int64, len(places))[order]
+    total = np.bincount(group, times).astype(np.int64)
+    rows: list[tuple] = []
+    for i in np.flatnonzero(total[group] > 1).tolist():
+        rows += [(numbers[order[i]], p, p + length, None, None) for p in places[order[i]]]
+    for g in {0, len(head) - 1}:
+        i = order[head[g]]
+        p = places[i][0] if total[g] == 1 else None
+        rows.append((numbers[i], p, None if p is None else p + length, windows[i], total[g]))
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64())
+    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["chunk", "start", "stop", "edge", "n"])
+
+
+def _across(buckets: DataFrame) -> DataFrame:
+    """Places of repeated windows of all buckets: a window that is alone in its bucket and stands at its edge may go on in the next one."""
+    made = stored(buckets)
+    edges = made.where("edge is not null")  # two rows a bucket at most
+    totals = edges.groupBy("edge").agg(F.sum("n").alias("all")).where("all > 1")
+    alone = edges.where("n = 1").join(totals, "edge").select("chunk", "start", "stop")
+    return made.where("edge is null").select("chunk", "start", "stop").union(alone)
 
 
 def _cut_texts(corpus: Corpus, spans: pa.Table):
@@ -289,6 +355,7 @@ def _removed(docs: DataFrame, text_col: str, length: int, bucket_rows: int, kept
         corpus = _texts(table, text_col)
         left, n, runs = zip(*_cut_texts(corpus, spans), strict=True)
         added = [pa.array(corpus.sizes), pa.array(n, pa.int64()), pa.array(runs, pa.int64()), pa.array([kept[3](x) for x in left], kept[2])]
+        tidy()
         return pa.table([*table.columns, *added], names=[*table.column_names, *names])
 
     schema = ddl(docs, f"`{names[0]}` bigint", f"`{names[1]}` bigint", f"`{names[2]}` bigint", f"`{names[3]}` {kept[1]}")

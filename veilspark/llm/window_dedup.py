@@ -19,18 +19,15 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from ._common import by_chunk, chunked, cut, ddl, documents, free_name, one_array, split_words, tidy, unpack_table
+from .ranges import RANGE_BYTES, ascending, at_level, bits_of, heard, planes, ranges_for, spans, unascending, unplanes
 
 WINDOW = 13
 
 #: Words of the shortest windows.
 SHORTEST = 4
 
-#: Bytes of text whose windows meet in one range of hashes, about.
-RANGE_BYTES = 16 << 20
-
 _K = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 
@@ -146,59 +143,37 @@ class Sent:
 
     def rows(self, number: int, ranges: int) -> pa.Table:
         """A row for each range that has hashes: all of the chunk's in it."""
-        cuts = np.append(0, np.append(np.searchsorted(self.hashes, _bounds(ranges)), len(self.hashes)))
-        full = np.flatnonzero(cuts[1:] > cuts[:-1]).tolist()
-        spans = [(int(cuts[r]), int(cuts[r + 1])) for r in full]
+        full = spans(self.hashes, ranges)
         columns = {
-            "range": pa.array(full, pa.int32()),
+            "range": pa.array([r for r, _, _ in full], pa.int32()),
             "chunk": pa.array([number] * len(full), pa.int64()),
-            "n": pa.array([b - a for a, b in spans], pa.int32()),
-            "hashes": pa.array([_planes(np.diff(self.hashes[a:b], prepend=np.uint64(0))) for a, b in spans], pa.binary()),
-            "twice": pa.array([np.packbits(self.lo[a:b] < self.hi[a:b]).tobytes() for a, b in spans], pa.binary()),
-            "more": pa.array([None if self.more is None else self.more[a:b].tobytes() for a, b in spans], pa.binary()),
-            "lo": pa.array([None if self.more is None else self._least(a, b) for a, b in spans], pa.binary()),
+            "n": pa.array([b - a for _, a, b in full], pa.int32()),
+            "hashes": pa.array([ascending(self.hashes[a:b]) for _, a, b in full], pa.binary()),
+            "twice": pa.array([np.packbits(self.lo[a:b] < self.hi[a:b]).tobytes() for _, a, b in full], pa.binary()),
+            "more": pa.array([None if self.more is None else self.more[a:b].tobytes() for _, a, b in full], pa.binary()),
+            "lo": pa.array([None if self.more is None else self._least(a, b) for _, a, b in full], pa.binary()),
         }
         return pa.table(columns)
 
     def _least(self, a: int, b: int) -> bytes:
         mine = self.lo[a:b].view(np.uint64)
-        return mine.min().tobytes() + _planes(mine - mine.min())
+        return mine.min().tobytes() + planes(mine - mine.min())
 
 
 _SENT = "range int, chunk long, n int, hashes binary, twice binary, more binary, lo binary"
 _TOLD = "chunk long, level int, range int, bits binary"
 
 
-def _bounds(ranges: int) -> np.ndarray:
-    """Hashes that open each range but the first."""
-    return np.array([(k << 64) // ranges for k in range(1, ranges)], np.uint64)
-
-
-def _planes(values: np.ndarray) -> bytes:
-    """Words of eight bytes, as planes of bytes: the high ones of small numbers pack to nothing."""
-    import zstandard
-
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8).T).tobytes())
-
-
-def _unplanes(packed: bytes, n: int) -> np.ndarray:
-    import zstandard
-
-    lanes = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed, max_output_size=8 * n), np.uint8).reshape(8, n)
-    return np.ascontiguousarray(lanes.T).view(np.uint64).ravel()
-
-
 def _answer(level: int, last: bool):
     """All that chunks sent in a range: a bit for each hash, whether two documents have it; at the last level, whether a document before the chunk's own has."""
 
     def answer(table: pa.Table) -> pa.Table:
         n = table.column("n").to_numpy()
-        ends = np.cumsum(n)
-        hashes = np.concatenate([np.cumsum(_unplanes(b, k)) for b, k in zip(table.column("hashes").to_pylist(), n.tolist(), strict=True)])
+        hashes = np.concatenate([unascending(b, k) for b, k in zip(table.column("hashes").to_pylist(), n.tolist(), strict=True)])
         if last:
             more = np.concatenate([np.frombuffer(b, np.uint32) for b in table.column("more").to_pylist()])
             packed = table.column("lo").to_pylist()
-            lo = np.concatenate([_unplanes(b[8:], k) + np.frombuffer(b, np.uint64, 1) for b, k in zip(packed, n.tolist(), strict=True)]).view(np.int64)
+            lo = np.concatenate([unplanes(b[8:], k) + np.frombuffer(b, np.uint64, 1) for b, k in zip(packed, n.tolist(), strict=True)]).view(np.int64)
             order = np.lexsort((more, hashes))
             h, m = hashes[order], more[order]
             head = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (m[1:] != m[:-1])))
@@ -210,25 +185,13 @@ def _answer(level: int, last: bool):
             same = np.append(False, hashes[order[1:]] == hashes[order[:-1]])
             yes = np.concatenate([np.unpackbits(np.frombuffer(b, np.uint8), count=k) for b, k in zip(table.column("twice").to_pylist(), n.tolist(), strict=True)]).view(bool)
             yes[order] |= same | np.append(same[1:], False)
-        bits = [np.packbits(yes[e - k : e]).tobytes() for e, k in zip(ends.tolist(), n.tolist(), strict=True)]
-        out = pa.table({"chunk": table.column("chunk"), "level": pa.array(np.full(len(n), level, np.int32)), "range": table.column("range"), "bits": pa.array(bits, pa.binary())})
+        out = pa.table({"chunk": table.column("chunk"), "level": pa.array(np.full(len(n), level, np.int32)), "range": table.column("range"), "bits": bits_of(yes, n)})
         tidy()
         return out
 
     return answer
 
 
-def _heard(sent: Sent, told: pa.Table, level: int, ranges: int) -> np.ndarray:
-    """The bits of what a chunk sent, put together again."""
-    cuts = np.append(0, np.append(np.searchsorted(sent.hashes, _bounds(ranges)), len(sent.hashes))).tolist()
-    out = np.zeros(len(sent.hashes), bool)
-    mine = told.filter(pc.equal(told.column("level"), level))
-    for r, bits in zip(mine.column("range").to_pylist(), mine.column("bits").to_pylist(), strict=True):
-        a, b = cuts[r], cuts[r + 1]
-        out[a:b] = np.unpackbits(np.frombuffer(bits, np.uint8), count=b - a)
-    return out
-
-
 class Doubling:
     """A chunk's way up the levels: what it sends at each, from what it was told at those below."""
 
@@ -241,7 +204,7 @@ class Doubling:
         words, base, place = self.words, self.lengths[0], self.place
         now, starts = self._final(self.first, self.last, base) if len(self.lengths) == 1 else (Sent(self.short, words.doc[place]), place)
         for k in range(1, level + 1):
-            known = now.hashes[_heard(now, told, k - 1, self.ranges)]
+            known = now.hashes[heard(now.hashes, at_level(told, k - 1), self.ranges)]
             reach, length = self.lengths[k - 1], self.lengths[k]
             if k == 1:
                 behind = before = _among(self.short, known)
@@ -319,12 +282,12 @@ def _removed(docs: DataFrame, id_col: str, text_col: str, window: int, shortest:
     chunks = chunked(docs, text_col)
     names = [free_name(docs, n) for n in ("n_words", "n_removed", kept[0])]
     lengths = levels(window, shortest)
-    ranges = max(1, -(-(chunks.agg(F.sum("size").alias("n")).first().n or 0) // range_bytes))
+    ranges = ranges_for(chunks, range_bytes)
 
     def finish(_: int, table: pa.Table, told: pa.Table) -> pa.Table:
         words = _read(table, id_col, text_col, window)
         sent, starts = Doubling(words, lengths, ranges).sent(len(lengths) - 1, told)
-        taken = _heard(sent, told, len(lengths) - 1, ranges)[sent.of] | (sent.lo[sent.of] < words.doc[starts])
+        taken = heard(sent.hashes, at_level(told, len(lengths) - 1), ranges)[sent.of] | (sent.lo[sent.of] < words.doc[starts])
         gone = np.zeros(len(words.index) + 1, np.int64)
         np.add.at(gone, starts[taken], 1)
         np.add.at(gone, starts[taken] + window, -1)
