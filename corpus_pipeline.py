@@ -1,7 +1,10 @@
 """A training corpus from raw documents: quality rules, exact, near and substring dedup, packing.
 
 Each stage reads what the one before has written and decides on all of it. Stages but
-the last return the columns of `documents`; the last one the packed pieces.
+the last return the columns of `documents`; the last one the packed pieces. In every
+stage a null text counts as empty, texts are taken whole however long, an empty table
+gives an empty one, and further columns of the table are kept as they are; names that a
+stage adds for itself give way to them.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ def _with_text(docs: DataFrame, new: str, columns: list[str]) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass, without the lines that fail."""
+    """Documents that pass, without the lines that fail. Null and empty texts do not pass; repeated rows are judged each for itself."""
     ship(spark)
     kept, cleaned = free_name(docs, "kept"), free_name(docs, "cleaned_text")
     # A number of the row holds the filter above the rules: moved below, it would copy all their expressions.
@@ -49,7 +52,7 @@ def _first_rows(numbered: DataFrame, row: str, groups: DataFrame, columns: list[
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, one row: that with the smallest doc_id."""
+    """Of equal texts, one row: that with the smallest doc_id; null ones are larger, and of ties any one row stays."""
     ship(spark)
     numbered, row = _numbered(docs)
     found = exact_dedup(numbered.select(row, "doc_id", "text")).where("kept")
@@ -57,7 +60,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that fingerprints link, one row: that with the smallest doc_id."""
+    """Of documents that fingerprints link, one row: that with the smallest doc_id; nulls and ties as in exact(). Texts without words are linked."""
     ship(spark)
     numbered, row = _numbered(docs)
     found = simhash_components(numbered, id_col=row).select(F.col("doc_id").alias("k"), F.col("component_id").alias("group_of"))
@@ -66,13 +69,13 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the bytes of repeated passages; what a cut leaves of a character goes too."""
+    """Documents without the bytes of repeated passages; what a cut leaves of a character goes too. Documents that lose all their text stay, empty."""
     ship(spark)
     return _with_text(suffix_dedup_text(docs), free_name(docs, "kept_text"), docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of at most 2048 tokens in their sequences."""
+    """Pieces of at most 2048 tokens in their sequences; rows that repeat a doc_id, or have none, are packed each for itself."""
     ship(spark)
     return pack(docs)
 
