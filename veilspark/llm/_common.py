@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import numpy as np
@@ -11,6 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import cut, shared_dir  # noqa: F401
 from .word_ids import slices
 
 #: Bytes of text that one chunk of documents holds (a longer document is a chunk of its own).
@@ -24,32 +24,18 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a local one only where the session names none, as in tests."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        kept = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if kept.isDefined():
-            return kept.get()
-        at = "file://" + tempfile.mkdtemp(prefix="veilspark-")
-        spark.sparkContext.setCheckpointDir(at)
-        return at
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(at)
+def kept_for_run(spark: SparkSession, at: str) -> str:
+    """Marks a path of the shared folder for removal when the application ends: what reads it may come later than this call."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
     return at
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder; Spark's cleaner removes it when nothing refers to it."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def stored(df: DataFrame, codec: str = "zstd") -> DataFrame:
     """Writes df as a table in the shared folder and reads it: column pruning holds on what follows."""
     at = f"{shared_dir(df.sparkSession)}/veilspark-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(at)
-    return df.sparkSession.read.schema(df.schema).parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(kept_for_run(df.sparkSession, at))
 
 
 def free_name(df: DataFrame, name: str) -> str:
@@ -136,8 +122,8 @@ def chunked(docs: DataFrame, text: str, chunk_bytes: int = CHUNK_BYTES) -> DataF
     at = f"{shared_dir(spark)}/{name}"
     rows.write.format("parquet").option("compression", "none").option("path", at).bucketBy(buckets, "chunk").saveAsTable(name)
     table = spark.table(name)
-    assert table.columns == ["chunk", "size", "blob"]
     spark.sql(f"DROP TABLE {name}")
+    kept_for_run(spark, at)
     return table
 
 

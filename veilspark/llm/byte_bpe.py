@@ -187,7 +187,7 @@ def encoded(docs: DataFrame, text_col: str = "text", rank_file: str | None = Non
 
     Null and empty texts have no ids and decode to nothing. Each text is encoded whole,
     whatever its length; special strings are ordinary text. Rows stay as they are,
-    repeated ones too; an empty table stays empty.
+    repeated ones too; an empty table stays empty; clashing names take underscores.
     """
     return _map(docs, text_col, rank_file, pattern, [("ids", "array<int>", lambda ids, enc: list(memoryview(ids).cast("I")) if ids else []), ("decoded", "binary", lambda ids, enc: enc.decode(ids))])
 

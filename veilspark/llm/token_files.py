@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._common import documents, shared_dir
+from ._common import documents, kept_for_run, shared_dir
 from .word_ids import default_words, slices, word_encoder
 
 MAGIC = b"VSPLANE1"
@@ -169,4 +169,4 @@ def read_token_digests(spark, at: str) -> DataFrame:
 def op5_token_files(spark, sf_dir) -> DataFrame:
     at = f"{shared_dir(spark)}/token-files-{uuid.uuid4().hex}"
     write_token_files(documents(spark, sf_dir), at)
-    return read_token_digests(spark, at)
+    return read_token_digests(spark, kept_for_run(spark, at))
