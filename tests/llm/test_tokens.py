@@ -230,3 +230,60 @@ def test_plans_of_random_counts():
                 assert offset == at
                 at += length
             assert at <= capacity
+
+
+def test_packing_of_odd_tables(spark):
+    """Null and repeated identifiers, repeated rows, one length that most pieces have, columns of the names that are added."""
+    from veilspark.llm.packing import pack
+
+    rows = [(None, "one two"), (None, None), (7, "same text here"), (7, "same text here"), (7, "other"), (-1, "word " * 3000)] + [(100 + k, "equal lengths all of them") for k in range(500)]
+    docs = spark.createDataFrame([(i, t, 1, "x") for i, t in rows], "doc_id long, text string, piece int, Sequence_ID string").repartition(7)
+    got = pack(docs).collect()
+    want = sorted((repr(i), k // 2048, k, len(ids[k : k + 2048]), crc(ids[k : k + 2048])) for (i, _), ids in zip(rows, ids_of([t for _, t in rows], 0), strict=True) for k in range(0, len(ids), 2048))
+    assert sorted((repr(r.doc_id), r.piece, r.start, r.length, r.ids_crc32) for r in got) == want
+    check_packed(got, 2048)
+
+
+def test_numbers_of_pieces():
+    from veilspark.llm.packing import _numbered
+
+    seen = np.zeros(6, np.int64)
+    assert _numbered(np.array([3, 5, 3, 3, 1]), seen).tolist() == [0, 0, 1, 2, 0]
+    assert _numbered(np.array([3, 1]), seen).tolist() == [3, 1] and _numbered(np.array([], np.int64), seen).tolist() == []
+    assert seen.tolist() == [0, 2, 0, 4, 0, 1]
+
+
+def test_token_files_of_one_identifier(spark, tmp_path):
+    """An identifier, or none, that most rows have: starts have no gap and every row is there."""
+    from veilspark.llm.token_files import read_token_digests, read_token_files, write_token_files
+
+    rows = [(None, f"text {k}") for k in range(120)] + [(5, f"more {k} text") for k in range(200)] + [(9, "last")]
+    docs = spark.createDataFrame([(i, t, 0) for i, t in rows], "doc_id long, text string, start int").repartition(5)
+    write_token_files(docs, str(tmp_path / "a"))
+    got = sorted((r.start, repr(r.doc_id), len(r.ids) // 4, crc(np.frombuffer(r.ids, "<u4"))) for r in read_token_files(spark, str(tmp_path / "a")).collect())
+    at = 0
+    for start, _, n, _ in got:
+        assert start == at
+        at += n
+    assert sorted((i, c) for _, i, _, c in got) == sorted((repr(i), crc(ids)) for (i, _), ids in zip(rows, ids_of([t for _, t in rows], 1), strict=True))
+    assert [i for _, i, _, _ in got] == ["None"] * 120 + ["5"] * 200 + ["9"]
+    assert sorted((r.start, repr(r.doc_id), r.n_tokens, r.ids_crc32) for r in read_token_digests(spark, str(tmp_path / "a")).collect()) == got
+
+
+def test_words_of_slices_and_hard_texts():
+    """Word by word as the library, also in slices of a column and over words that it splits further."""
+    import pyarrow as pa
+
+    from veilspark.llm.word_ids import default_words, word_encoder
+
+    encoder = word_encoder(default_words())
+    draw = random.Random(6)
+    parts = ["Word", "it's,", "END.", "é,", "İ.", "J̌,", "ß?", "x1y2", "...", "!?,", "a<|endoftext|>", "\x85", "\xa0b,", "日本、", "́", "ſ,", "Ǆ.", "'s,", "\x1c", "12,", "Q" * 40 + ";"]
+    texts = [None, "", *HARD[1:]] + [draw.choice([" ", "\n", "  "]).join(draw.choice(parts) for _ in range(draw.randrange(30))) for _ in range(300)]
+    column = pa.array(["skipped, text"] * 7 + texts).slice(7)
+    ids, counts = encoder.encode(column)
+    at = 0
+    for t, n in zip(texts, counts.tolist(), strict=True):
+        assert ids[at : at + n].tolist() == encoder.library.encode(t or "", add_special_tokens=False).ids, repr(t)[:80]
+        at += n
+    assert at == len(ids)
