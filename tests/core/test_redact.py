@@ -138,3 +138,23 @@ def test_gates_lose_no_match():
             if compiled(p).search(t):
                 assert all(set(t) & g for g in gates(p))
     assert gates("(?i)abc=") == ()
+
+
+def test_batches_of_a_stream_and_counts_alone(spark, tmp_path):
+    """A sink of one's own gets every batch, its reports merge; counts alone write nothing; long lines in pieces hold in streams too."""
+    from veilspark.sources.text import stream_lines
+    from veilspark.streaming.lines import with_batches
+
+    (tmp_path / "in").mkdir()
+    for k in range(3):
+        (tmp_path / "in" / f"{k}.txt").write_text(f"x 10.0.0.{k + 1}\ny 10.0.0.1\n")
+    s = Sanitizer(KEY, rules=["ips"], max_line_chars=9, overlap_chars=8)
+    parts = []
+
+    def each(batch, number):
+        parts.append([tuple(r) for r in R.counts(batch.selectExpr("inline(redacted.matches)")).collect()])
+
+    with_batches(s, stream_lines(spark, str(tmp_path / "in"), 1), each, str(tmp_path / "cp")).awaitTermination()
+    assert len(parts) == 3 and sum(n for p in parts for _, n in p) == 6
+    assert {r.rule_id: r.n for r in s.sanitize_path(spark, str(tmp_path / "in"), None).collect()} == {"ips": 6}
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["cp", "in"]
