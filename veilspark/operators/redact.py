@@ -138,6 +138,19 @@ class Scanner:
         self.resolve = KeyResolver(list(settings.rules))
         self.cursors = [Cursor(rank, k, p, rule) for rank, rule in enumerate(settings.rules) for k, p in enumerate(rule.patterns)]
         self.token = Tokens(settings).token
+        #: Characters that gates ask for; of those that a text has, which cursors may find something.
+        self.telling = frozenset().union(*(n for c in self.cursors for n in c.needs))
+        self.open: dict[frozenset[str], list[int]] = {}
+
+    def _open(self, text: str) -> list[int]:
+        """Numbers of the cursors whose gates a text passes; lines of one kind have the same few telling characters."""
+        has = self.telling.intersection(text)
+        found = self.open.get(has)
+        if found is None:
+            if len(self.open) >= 10_000:
+                self.open.clear()
+            found = self.open[has] = [i for i, c in enumerate(self.cursors) if not any(n.isdisjoint(has) for n in c.needs)]
+        return found
 
     def taken(self, text: str) -> list[tuple[int, int, int, str, str]]:
         """(start, stop, rule, value, quotes to put around its token) of what is redacted, in order."""
@@ -149,10 +162,9 @@ class Scanner:
                 parts += (text[at:start], " " * (stop - start))
                 at = stop
             shown = "".join([*parts, text[at:]])
-        has, heap, guards = set(shown), [], {}
-        for i, c in enumerate(self.cursors):
-            if any(n.isdisjoint(has) for n in c.needs):
-                continue
+        heap, guards = [], {}
+        for i in self._open(shown):
+            c = self.cursors[i]
             c.resume = 0
             if (span := c.seek(shown, 0, guards)) is not None:
                 heap.append((span[0], c.rank, c.order, span[1], i))
