@@ -99,3 +99,18 @@ def test_fixture(spark, monkeypatch):
     assert [got[i][1] for i in order] == [order[r] for r in by_force(fps)]
     assert S.simhash_components(docs.limit(0)).count() == 0
     assert S.simhash_components(spark.createDataFrame([(None, "a"), (1, "a"), (1, "a")], "doc_id long, text string")).where("component_id = 1").count() == 3
+
+
+@pytest.mark.parametrize("shard", [4, 40, 1 << 20])
+def test_shards_of_any_size_give_the_same(spark, shard):
+    """Crowded shards are parted in rounds, dense ones stay whole; components do not depend on it."""
+    draw = random.Random(shard)
+    fps = clustered(draw, 700, 5)
+    rows = [(k, f - (1 << 64) if f >> 63 else f) for k, f in enumerate(fps)]
+    rows += [(1000 + k, rows[3][1]) for k in range(200)]
+    got = {r.fp: r.component_id for r in S.near_components(spark.createDataFrame(rows, "doc_id long, fp long").repartition(5), 3, shard).collect()}
+    roots = by_force(fps)
+    least = {}
+    for k, r in enumerate(roots):
+        least[r] = min(least.get(r, k), k)
+    assert got == {f: least[r] for (_, f), r in zip(rows[: len(fps)], roots, strict=True)}

@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from ._common import cut
 
 
+#: Edges that a task reads, about.
+EDGES = 200_000
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     """Each node hands its larger neighbours the least node that it knows."""
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -38,6 +42,7 @@ def components(edges: DataFrame) -> DataFrame:
         if told == before or not told.n:
             break
         before = told
+        now = now.coalesce(max(8, -(-told.n // EDGES)))  # few edges are no work for as many tasks as the documents had
         now = cut(_small_star(_large_star(now)))
     # A stable set of edges is stars: each node but the root once on the left.
     return now.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("root")).union(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

@@ -4,13 +4,16 @@ Fingerprints that are equal are one point. A tree of vantage points, grown from
 of a fixed size, parts the points by Hamming distance: a node's inner side takes those
 within its radius, the outer side the rest, and a point at most `bits` beyond the radius
 is a guest of the inner side too. By the triangle inequality two points within `bits` of
-each other then meet in at least one leaf. Leaves are shards; each grows its own tree
+each other then meet in at least one leaf. Leaves are shards; those with too many points
+are parted again by trees of their own, in rounds, until none is. A shard grows its tree
 the same way down to small sets that are compared outright, and gives a star for each
 of its components in place of pairs. The stars of all shards make the components.
 """
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,8 +25,11 @@ from .components import components
 #: Bits that linked fingerprints may differ in, words of a shingle, seed of its hash.
 BITS, SHINGLE, SEED = 3, 3, 42
 
-#: Points that the tree is grown from, points that a shard should have, and levels, at most.
-SAMPLE, SHARD, LEVELS = 16_384, 2_048, 12
+#: Points that a tree is grown from, about, and points that a shard should have; one with more than CROWDED times as many is parted again.
+SAMPLE, SHARD, CROWDED = 16_384, 2_048, 8
+
+#: Vantage points that a node tries before it stays a leaf.
+TRIES = 8
 
 #: Points that a shard compares outright.
 OUTRIGHT = 256
@@ -79,10 +85,12 @@ def grow(sample: np.ndarray, levels: int, bits: int = BITS) -> list:
     def node(points: np.ndarray, level: int):
         nonlocal leaves
         if level and len(points) >= 8:
-            d = np.bitwise_count(points ^ points[0])
-            radius = _radius(d, bits)
-            if radius is not None:
-                return [int(points[0]), radius, node(points[1:][d[1:] <= radius + bits], level - 1), node(points[1:][d[1:] > radius], level - 1)]
+            for k in range(min(TRIES, len(points))):
+                d = np.bitwise_count(points ^ points[k])
+                radius = _radius(d, bits)
+                if radius is not None:
+                    rest = np.arange(len(points)) != k
+                    return [int(points[k]), radius, node(points[rest & (d <= radius + bits)], level - 1), node(points[rest & (d > radius)], level - 1)]
         leaves += 1
         return leaves - 1
 
@@ -158,34 +166,82 @@ def link(points: np.ndarray, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
     return points[[i for i, _ in moved]], points[[r for _, r in moved]]
 
 
-def near_components(fps: DataFrame, bits: int = BITS) -> DataFrame:
-    """Rows (fp, component_id) for each distinct fingerprint; component_id is the least doc_id that it reaches."""
-    points = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    n = points.count()
-    levels = min(LEVELS, max(0, int(np.ceil(np.log2(max(1, n) / SHARD)))))
-    sample = np.array([r.fp for r in points.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE if levels else 0).collect()], np.int64).view(np.uint64)
-    tree = grow(sample, levels, bits)
+def _split(now: DataFrame, sizes: DataFrame, bits: int, shard: int) -> tuple[DataFrame, bool]:
+    """(rows (shard, fp, whole) of crowded shards, parted by a tree each; whether there are any that could not be parted, which are whole).
+
+    A shard's points go to several tasks, and its tree to each of them, ahead of the points.
+    """
+    told = sizes.limit(2).collect()
+    # Points of a single shard, as all are at first, need not meet its size in a join.
+    crowded = now.where(F.col("shard") == told[0].shard).withColumn("n", F.lit(told[0].n)) if len(told) == 1 else now.join(sizes, "shard")
+
+    def plant(table: pa.Table) -> pa.Table:
+        n = table.column("n")[0].as_py()
+        points = np.sort(table.column("fp").to_numpy().view(np.uint64))
+        np.random.default_rng(len(points)).shuffle(points)
+        tree = grow(points, max(1, int(np.ceil(np.log2(n / shard)))), bits)
+        return pa.table({"shard": table.column("shard").slice(0, 1), "tree": pa.array([pickle.dumps(tree)], pa.binary()), "parts": pa.array([-(-n // SAMPLE)], pa.int64()), "whole": pa.array([isinstance(tree, int)])})
+
+    chance = F.pmod(F.xxhash64("fp", "shard"), F.col("n"))
+    trees = cut(crowded.where(chance < SAMPLE).groupBy("shard").applyInArrow(plant, "shard string, tree binary, parts long, whole boolean"))
+    copies = trees.select("shard", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "tree", F.lit(None).cast("long").alias("fp"))
+    points = crowded.select("shard", F.pmod(F.xxhash64("fp"), F.ceil(F.col("n") / SAMPLE)).cast("long").alias("part"), F.lit(None).cast("binary").alias("tree"), "fp")
+    rows = copies.union(points).repartition("shard", "part").sortWithinPartitions("shard", "part", F.col("tree").isNull())
 
     def spread(batches):
+        name, tree = None, None
         for batch in batches:
-            shards, there = route(tree, batch.column(0).to_numpy().view(np.uint64), bits)
-            yield pa.RecordBatch.from_arrays([pa.array(shards), pa.array(there.view(np.int64))], names=["shard", "fp"])
+            shards, planted = batch.column(0), batch.column(2).is_valid().to_numpy(zero_copy_only=False)
+            fps = batch.column(3).fill_null(0).to_numpy().view(np.uint64)
+            starts = np.flatnonzero(planted).tolist()
+            for a, b in zip([None, *starts], [*starts, batch.num_rows], strict=True):
+                if a is not None:
+                    name, tree = shards[a].as_py(), pickle.loads(batch.column(2)[a].as_py())
+                leaves, there = route(tree, fps[0 if a is None else a + 1 : b], bits) if tree is not None else (np.zeros(0, np.int64), fps[:0])
+                whole = isinstance(tree, int)
+                names = pa.array([name if whole else f"{name}/{k}" for k in leaves.tolist()], pa.string())
+                yield pa.RecordBatch.from_arrays([names, pa.array(there.view(np.int64)), pa.array(np.full(len(there), whole))], names=["shard", "fp", "whole"])
+
+    parted = cut(rows.select("shard", "part", "tree", "fp").mapInArrow(spread, "shard string, fp long, whole boolean"))
+    return parted, not trees.where("whole").isEmpty()
+
+
+def near_components(fps: DataFrame, bits: int = BITS, shard: int = SHARD) -> DataFrame:
+    """Rows (fp, component_id) for each distinct fingerprint; component_id is the least doc_id that it reaches."""
+    points = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
 
     def stars(table: pa.Table) -> pa.Table:
         a, b = link(table.column("fp").to_numpy().view(np.uint64), bits)
         return pa.table({"a": pa.array(a.view(np.int64)), "b": pa.array(b.view(np.int64))})
 
-    edges = points.select("fp").mapInArrow(spread, "shard long, fp long").groupBy("shard").applyInArrow(stars, "a long, b long")
-    roots = components(edges)
+    stars_of = lambda rows: rows.groupBy("shard").applyInArrow(stars, "a long, b long")
+    edges, most = [], shard
+    now = points.select(F.lit("").alias("shard"), "fp")
+    while True:
+        sizes = cut(now.groupBy("shard").agg(F.count("*").alias("n")))
+        told = sizes.agg(F.count_if(F.col("n") > most).alias("crowded"), F.count_if(F.col("n") <= most).alias("fit")).first()
+        if not told.crowded:
+            edges.append(stars_of(now))
+            break
+        if told.fit:
+            edges.append(stars_of(now.join(sizes.where(F.col("n") <= most).drop("n"), "shard", "left_semi")))
+        parted, any_whole = _split(now, sizes.where(F.col("n") > most), bits, shard)
+        if any_whole:
+            edges.append(stars_of(parted.where("whole")))
+        now, most = parted.where("not whole").select("shard", "fp"), CROWDED * shard
+    found = edges[0]
+    for more in edges[1:]:
+        found = found.union(more)
+    roots = components(found)
     linked = cut(roots.join(points, F.col("node") == F.col("fp")).select("fp", "root", "least"))
     least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     linked = linked.select("fp", "root").join(least, "root").select(F.col("fp").alias("k"), "component_id")
     whole = points.join(linked, F.col("fp") == F.col("k"), "left")
-    return whole.select("fp", F.coalesce("component_id", "least").alias("component_id"))
+    return cut(whole.select("fp", F.coalesce("component_id", "least").alias("component_id")))
 
 
-def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS, shingle: int = SHINGLE) -> DataFrame:
-    """Rows (doc_id, fingerprint, component_id), one for each row of docs.
+def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS, shingle: int = SHINGLE, shard: int = SHARD) -> DataFrame:
+    """Rows (doc_id, fingerprint, component_id), one for each row of docs; its other columns are left out, so that none can clash.
 
     Null texts count as empty; texts without words have fingerprint zero and link like
     any other. A text with fewer words than a shingle is one shingle. Rows that repeat
@@ -193,7 +249,8 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     are passed over. An empty table gives no rows.
     """
     fps = cut(fingerprints(docs, id_col, text_col, shingle))
-    found = near_components(fps, bits).withColumnRenamed("fp", "k")
+    # Both sides are plain exchanges, so Spark can split the partition of a fingerprint that very many rows have.
+    found = near_components(fps, bits, shard).withColumnRenamed("fp", "k")
     return fps.join(found, F.col("fp") == F.col("k")).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
