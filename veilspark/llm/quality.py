@@ -27,7 +27,7 @@ LOST_PERCENT = 50
 #: Characters that part the entries of a menu.
 SEPARATOR_CLASS = "[|»›·•>]"
 
-#: Phrases of boilerplate lines, in lower case.
+#: Phrases of boilerplate lines in English, French, German and Spanish, in lower case. Their first letters are few.
 BOILERPLATE = (
     "all rights reserved",
     "terms of use",
@@ -47,6 +47,23 @@ BOILERPLATE = (
     "copyright ©",
     "copyright (c)",
     "skip to content",
+    "tous droits réservés",
+    "politique de confidentialité",
+    "conditions générales",
+    "cliquez ici",
+    "utilise des cookies",
+    "activer javascript",
+    "alle rechte vorbehalten",
+    "allgemeine geschäftsbedingungen",
+    "unsere datenschutzerklärung",
+    "cookies akzeptieren",
+    "javascript aktivieren",
+    "todos los derechos reservados",
+    "política de privacidad",
+    "términos y condiciones",
+    "aviso legal",
+    "utiliza cookies",
+    "clic aquí",
 )
 
 #: Punctuation that counts as symbols in the base columns and in lines.
@@ -88,8 +105,8 @@ def quality_rules(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     Null and empty texts have no words, fail the base rules and are not kept. White space
     is space and U+0009 to U+000D; other spaces are characters of words. Lines end at \\n
-    alone. Rows stay as they are, repeated ones too; an empty table stays empty;
-    clashing names take underscores.
+    alone. Rows stay as they are, repeated ones too; texts of any length are judged whole;
+    an empty table stays empty; clashing names take underscores.
     """
     names = {c: free_name(docs, c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines_removed", "cleaned_text")}
     t = {c: free_name(docs, f"__{c}") for c in ("text", "norm", "hashes", "two", "four", "win", "lines", "bad", "pos")}
