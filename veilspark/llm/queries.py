@@ -6,6 +6,8 @@ from .byte_bpe import op10_byte_bpe
 from .context_tree import op8_lm_scoring
 from .exact_dedup import ORACLE as EXACT_ORACLE
 from .exact_dedup import op1_exact_dedup
+from .line_dedup import ORACLE as LINE_ORACLE
+from .line_dedup import op13_line_dedup
 from .packing import op3_best_fit_packing
 from .quality import ORACLE as QUALITY_ORACLE
 from .quality import op9_quality_rules
@@ -29,6 +31,7 @@ QUERIES = {
         op8_lm_scoring,
         op9_quality_rules,
         op10_byte_bpe,
+        op13_line_dedup,
     )
 }
 
@@ -36,4 +39,5 @@ ORACLES = {
     "op1_exact_dedup": EXACT_ORACLE,
     "op6_window_dedup": WINDOW_ORACLE,
     "op9_quality_rules": QUALITY_ORACLE,
+    "op13_line_dedup": LINE_ORACLE,
 }
