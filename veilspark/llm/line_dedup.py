@@ -60,8 +60,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     each = stored(each.select("id", "row", "place", F.xxhash64("key").alias("h"), F.xxhash64(F.lit(1), "key").alias("g")))
 
     held = each.groupBy("h", "g").agg(F.count_distinct("id").alias("n"), F.max("id").alias("last"), F.max(F.col("id").isNull().cast("int")).alias("nameless"))
-    # Of a few thousand million lines most are alone: this side of the join is the small one, and a line that very many documents have is one row of it.
-    common = held.where(F.col("n") + F.col("nameless") >= least_docs).select("h", "g", "last")
+    # Stored, so that both sides of the join are plain exchanges: a line that a third of all rows have is then dealt over tasks by Spark (adaptive execution, on by default).
+    common = stored(held.where(F.col("n") + F.col("nameless") >= least_docs).select("h", "g", "last"))
     gone = each.join(common.hint("shuffle_hash"), ["h", "g"]).where(~F.col("id").eqNullSafe(F.col("last")))
     gone = gone.groupBy(F.col("id").alias(met_id), F.col("row").alias(met_row)).agg(F.sort_array(F.collect_set("place")).alias(lost))
     met = docs.withColumns({whole: text, own_row: row}).join(gone.hint("shuffle_hash"), ident.eqNullSafe(F.col(met_id)) & (F.col(own_row) == F.col(met_row)), "left")
