@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from .byte_bpe import op10_byte_bpe
 from .context_tree import op8_lm_scoring
+from .divergence import ORACLE as DIVERGENCE_ORACLE
+from .divergence import op11_source_divergence
 from .exact_dedup import ORACLE as EXACT_ORACLE
 from .exact_dedup import op1_exact_dedup
 from .line_dedup import ORACLE as LINE_ORACLE
@@ -31,6 +33,7 @@ QUERIES = {
         op8_lm_scoring,
         op9_quality_rules,
         op10_byte_bpe,
+        op11_source_divergence,
         op13_line_dedup,
     )
 }
@@ -39,5 +42,6 @@ ORACLES = {
     "op1_exact_dedup": EXACT_ORACLE,
     "op6_window_dedup": WINDOW_ORACLE,
     "op9_quality_rules": QUALITY_ORACLE,
+    "op11_source_divergence": DIVERGENCE_ORACLE,
     "op13_line_dedup": LINE_ORACLE,
 }
