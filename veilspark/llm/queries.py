@@ -11,6 +11,7 @@ from .exact_dedup import op1_exact_dedup
 from .line_dedup import ORACLE as LINE_ORACLE
 from .line_dedup import op13_line_dedup
 from .packing import op3_best_fit_packing
+from .periodic_runs import op12_periodic_runs
 from .quality import ORACLE as QUALITY_ORACLE
 from .quality import op9_quality_rules
 from .simhash import op7_simhash
@@ -34,6 +35,7 @@ QUERIES = {
         op9_quality_rules,
         op10_byte_bpe,
         op11_source_divergence,
+        op12_periodic_runs,
         op13_line_dedup,
     )
 }
