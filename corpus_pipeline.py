@@ -15,9 +15,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilspark.llm._common import documents, free_name, stored
+from veilspark.llm.components import components
 from veilspark.llm.exact_dedup import exact_dedup
 from veilspark.llm.packing import pack
 from veilspark.llm.quality import quality_rules
+from veilspark.llm.shingle_links import shingle_links
 from veilspark.llm.simhash import simhash_components
 from veilspark.llm.suffix_dedup import suffix_dedup_text
 from veilspark.shipping import ship
@@ -60,11 +62,16 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that fingerprints link, one row: that with the smallest doc_id; nulls and ties as in exact(). Texts without words are linked."""
+    """Of documents that are linked, one row: that with the smallest doc_id; nulls and ties as in exact().
+
+    Links are fingerprints within three bits (texts without words are linked by theirs)
+    and sets of five-word shingles of a Jaccard similarity of 0.8 or more, all of them.
+    """
     ship(spark)
     numbered, row = _numbered(docs)
-    found = simhash_components(numbered, id_col=row).select(F.col("doc_id").alias("k"), F.col("component_id").alias("group_of"))
-    found = numbered.select(row, "doc_id").join(found, F.col(row) == F.col("k"))
+    by_print = stored(simhash_components(numbered, id_col=row)).where("doc_id <> component_id").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
+    linked = components(by_print.union(shingle_links(numbered, row, "text", by_print))).select(F.col("node").alias("k"), F.col("root").alias("group_of"))
+    found = numbered.select(row, "doc_id").join(linked, F.col(row) == F.col("k"), "left").withColumn("group_of", F.coalesce("group_of", row))
     return _first_rows(numbered, row, found.select("group_of", "doc_id", row), docs.columns)
 
 
