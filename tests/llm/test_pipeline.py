@@ -3,6 +3,7 @@ import re
 import pytest
 
 import corpus_pipeline as P
+from tests.llm.test_shingles import roots, similar_pairs
 from tests.llm.test_simhash import by_force
 from tests.llm.test_simhash import plain as fingerprint
 from tests.llm.test_suffix import plain as cut_repeats
@@ -65,8 +66,10 @@ def test_stages_against_brute_force(spark, documents):
             now = {i: now[i] for i in first.values()}
         elif k == 2:
             ids = sorted(now)
-            roots = by_force([fingerprint(now[i]) for i in ids])
-            now = {ids[i]: now[ids[i]] for i in sorted(set(roots))}
+            by_print = list(enumerate(by_force([fingerprint(now[i]) for i in ids])))
+            by_words = similar_pairs([now[i] for i in ids])
+            assert any(dict(by_print)[i] != dict(by_print)[j] for i, j in by_words)  # some that fingerprints do not link
+            now = {ids[i]: now[ids[i]] for i in sorted(set(roots(len(ids), [*by_print, *by_words])))}
         else:
             ids = sorted(now)
             now = {i: kept.decode("utf-8", "ignore") for i, (kept, _, _) in zip(ids, cut_repeats([now[i].encode() for i in ids], 200), strict=True)}
@@ -103,3 +106,18 @@ def test_repeated_rows_and_null_ids_leave_one_whole_copy(spark):
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
     got = sorted((r.doc_id or 0, r.text.lower()) for r in docs.collect())
     assert got == sorted([(7, words(0)), (0, words(1)), (8, words(2)), (11, words(3)), (11, words(7)), (0, near), (13, words(8))])
+
+
+def test_clashing_names_and_a_very_long_text(spark):
+    """Columns named as the stages name their own stay; a text of 30,000 lines goes through whole."""
+    long = "\n".join(f"Entry number {k} gives result {k * k} and remainder {k * 31} for place p{k}." for k in range(30_000))
+    rows = [(1, long, 1), (2, long.upper(), 2), (3, "A plain text of more than ten words that stays as it is here.", 3)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t), k, k, k, k, k) for i, t, k in rows], "doc_id long, text string, lang string, source string, n_chars long, kept int, __row int, KEPT_TEXT int, cleaned_text int, a int")
+    for _, stage in P.STAGES[:-1]:
+        docs = P.stored(stage(spark, docs, SF))
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", "kept", "__row", "KEPT_TEXT", "cleaned_text", "a"]
+    got = {r.doc_id: (r.text, r.n_chars, r.kept, r["__row"], r.KEPT_TEXT, r.cleaned_text, r.a) for r in docs.collect()}
+    assert got == {i: (t, len(t), k, k, k, k, k) for i, t, k in (rows[0], rows[2])}
+    pieces = P.STAGES[-1][1](spark, docs, SF).collect()
+    check_packed(pieces, 2048)
+    assert sum(r.length for r in pieces if r.doc_id == 1) > 400_000
