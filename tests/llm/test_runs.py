@@ -10,7 +10,7 @@ from fractions import Fraction
 import numpy as np
 import pytest
 
-from veilspark.llm.periodic_runs import lyndon, op12_periodic_runs, periodic_runs, runs_in, runs_of
+from veilspark.llm.periodic_runs import lyndon, op12_periodic_runs, periodic_runs, runs_in, runs_of, with_periods
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -128,3 +128,19 @@ def test_odd_rows(spark):
         (6, 23, [], " ".join(["Eé"] * 23)), (7, 24, [(0, 24, 1)], "E"), (8, 1_200_001, [(0, 1_200_000, 3)], "l m n end"), (9, 3500, [(0, 3500, 997)], " ".join(f"w{k}" for k in range(997))),
     ]
     assert periodic_runs(docs.limit(0)).count() == 0
+
+
+def test_planted_words(spark):
+    rows = [(k, "one two three four " * 5000) for k in range(40)] + [(None, "a b")] + [(k, t) for k in range(100, 140) for t in ("", None, "a", "a  b\n")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {(r.doc_id, r.text) for r in with_periods(docs).collect()}
+    want = set()
+    for i, t in rows:
+        words, h = WORD.findall(t or ""), zlib.crc32(str(i).encode())
+        n, g = len(words), h // 10
+        if i is None or h % 10 or not n:
+            want.add((i, t or ""))
+            continue
+        a, p = g % n, 1 + (n - g % n) // (3 + g % 8)
+        want.add((i, " ".join(w if k < a else words[a + (k - a) % p] for k, w in enumerate(words))))
+    assert got == want

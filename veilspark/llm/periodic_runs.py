@@ -15,14 +15,15 @@ it: stretches between them are looked at each for itself.
 from __future__ import annotations
 
 from array import array
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import WS, ddl, documents, free_name, one_array, split_words, tidy, whole_text
+from ._common import ddl, documents, free_name, one_array, split_words, text_bytes, tidy
 from .word_ids import slices
 
 #: Words that a run has at least, and periods.
@@ -168,21 +169,29 @@ def periodic_runs(docs: DataFrame, text_col: str = "text", least_length: int = L
     return docs.mapInArrow(run, ddl(docs, *(f"{c} {t}" for c, t in zip(names, ("long", RUNS, "string"), strict=True))))
 
 
-def with_periods(text: Column, ident: Column) -> Column:
-    """The text, or for a tenth of all identifiers (by crc32) a text whose words repeat from some place on: cases that are known to have runs."""
-    norm = F.btrim(F.regexp_replace(text, WS, " "), F.lit(" "))
-    words = F.split(norm, " ")
-    h = F.crc32(ident.cast("string").cast("binary"))
-    g = F.floor(h / 10)
-    n = F.size(words)
-    a = (g % n).cast("int")
-    p = 1 + F.floor((n - a) / (3 + g % 8)).cast("int")
-    periodic = F.transform(words, lambda w, i: F.when(i < a, w).otherwise(F.get(words, a + (i - a) % p)))
-    return F.when((h % 10 == 0) & (norm != ""), F.array_join(periodic, " ")).otherwise(text)
+def with_periods(docs: DataFrame) -> DataFrame:
+    """Rows (doc_id, text); for a tenth of all identifiers (by crc32) words repeat from some place of the text on: cases that are known to have runs."""
+
+    def repeat(ident: int, text: bytes) -> bytes:
+        h = crc32(str(ident).encode())
+        words = text.split() if h % 10 == 0 else []
+        if not words:
+            return text
+        n, g = len(words), h // 10
+        a = g % n
+        period = words[a : a + 1 + (n - a) // (3 + g % 8)]
+        return b" ".join(words[:a] + (period * (-(-(n - a) // len(period))))[: n - a])
+
+    def run(batches):
+        for part in (p for batch in batches for p in slices(batch, "text")):
+            texts = [text if ident is None else repeat(ident, text) for ident, text in zip(part.column(0).to_pylist(), text_bytes(part.column(1)), strict=True)]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(run, "doc_id long, text string")
 
 
 def op12_periodic_runs(spark, sf_dir) -> DataFrame:
-    docs = documents(spark, sf_dir).select("doc_id", with_periods(whole_text("text"), F.col("doc_id")).alias("text"))
+    docs = with_periods(documents(spark, sf_dir).select("doc_id", "text"))
     out = periodic_runs(docs)
     none = F.get("runs", F.lit(0))
     best = F.aggregate("runs", none, lambda b, x: F.when(x["length"] * b["period"] > b["length"] * x["period"], x).otherwise(b))
