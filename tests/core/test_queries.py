@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from veilspark.plans.queries import ORACLES, QUERIES
+from veilspark.plans.catalog import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
 

@@ -3,9 +3,9 @@
 One function over each row, which shuffles nothing. In a unit of text (a line, or a string
 of a JSON line) every pattern has a cursor at its next value; the leftmost value is taken,
 then the rule's and the pattern's order decide, and cursors that are behind its end move
-on. A value that its rule's check refuses takes its span all the same. The function counts
-as nondeterministic: filters and explodes of its result use the value that was computed,
-and do not compute it anew. Keys for tokens stay out of plans: they travel with the function.
+on. A value that its rule's check refuses takes its span all the same. Filters on other
+columns go below the function, to the files; those on its result stay above it and use
+the value that was computed. Keys for tokens stay out of plans: they travel with the function.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from ..functions import fields
 from ..functions.rules import AllowList, KeyResolver, Rule, compiled, python_pattern
 
-MATCHES = "array<struct<rule_id:string,original:string,replacement:string,index:int,seq:int,context_before:string,context_after:string>>"
+MATCHES = "array<struct<rule_id:string,original:string,replacement:string,index:int,length:int,seq:int,context_before:string,context_after:string>>"
 RESULT = f"output string, is_json boolean, matches {MATCHES}"
 
 #: Characters of a line that are looked at together, and among its last ones a place for a cut is looked for.
@@ -45,6 +45,9 @@ class Settings:
     overlap_chars: int = OVERLAP_CHARS
 
 
+#: Characters between a value and the next one's floor that are searched again without asking how far a prefix reaches.
+NEAR = 200
+
 #: Sets of characters that a gate has at most; common letters tell nothing.
 GATES, COMMON = 3, frozenset("abcdefghijklmnopqrstuvwxyz ")
 
@@ -99,20 +102,97 @@ def gates(source: str) -> tuple[frozenset[str], ...]:
     return tuple(sorted({s for s in walk(tree) if not s & COMMON}, key=lambda s: (*cost(s), sorted(s)))[:GATES])
 
 
+@lru_cache(maxsize=4096)
+def reach(source: str) -> tuple[int, frozenset[str]] | None:
+    """How far a pattern's prefix may begin before its group: so many characters, besides any number of those in a set and of those beyond ASCII. None if that is not plain."""
+    from re import _constants as C
+    from re import _parser as P
+
+    def chars(op, arg) -> frozenset[str] | None:
+        """ASCII characters that one item takes."""
+        if op is C.LITERAL:
+            return frozenset(chr(arg))
+        if op is C.IN:
+            out: set[str] = set()
+            for o, a in arg:
+                if o is C.LITERAL:
+                    out.add(chr(a))
+                elif o is C.RANGE:
+                    out.update(map(chr, range(a[0], min(a[1], 127) + 1)))
+                elif o is not C.NEGATE:
+                    return frozenset(map(chr, range(128)))
+            return frozenset(map(chr, range(128))) - out if arg[0][0] is C.NEGATE else frozenset(out)
+        return frozenset(map(chr, range(128))) if op in (C.ANY, C.NOT_LITERAL, C.CATEGORY) else None
+
+    def width(items) -> tuple[int, frozenset[str]] | None:
+        most, free = 0, frozenset()
+        for op, arg in items:
+            if op in (C.ASSERT, C.ASSERT_NOT, C.AT):
+                continue
+            if op in (C.LITERAL, C.IN, C.ANY, C.NOT_LITERAL, C.CATEGORY):
+                most += 1
+            elif op in (C.MAX_REPEAT, C.MIN_REPEAT, C.POSSESSIVE_REPEAT):
+                low, high, sub = arg
+                if high is C.MAXREPEAT or high > 64:
+                    if len(sub) != 1 or (some := chars(*sub[0])) is None:
+                        return None
+                    free |= some
+                elif (inner := width(sub)) is None:
+                    return None
+                else:
+                    most, free = most + high * inner[0], free | inner[1]
+            elif op is C.SUBPATTERN and arg[0] is None:
+                if (inner := width(arg[3])) is None or arg[1] & re.IGNORECASE and inner[1]:
+                    return None
+                most, free = most + inner[0], free | inner[1]
+            elif op is C.BRANCH:
+                each = [width(a) for a in arg[1]]
+                if not all(each):
+                    return None
+                most, free = most + max(w for w, _ in each), free.union(*(f for _, f in each))
+            else:
+                return None
+        return most, free
+
+    try:
+        tree = list(P.parse(python_pattern(source), re.ASCII))
+    except re.error:
+        return None
+    place = next((k for k, (op, arg) in enumerate(tree) if op is C.SUBPATTERN and arg[0] == 1), None)
+    return None if place is None else width(tree[:place])
+
+
 class Cursor:
     """One pattern's next value in a text."""
 
-    __slots__ = ("rank", "order", "pattern", "grouped", "needs", "check", "guard", "resume")
+    __slots__ = ("rank", "order", "pattern", "grouped", "needs", "check", "guard", "resume", "reach")
 
     def __init__(self, rank: int, order: int, source: str, rule: Rule):
         self.rank, self.order, self.pattern, self.needs, self.check = rank, order, compiled(source), gates(source), rule.validate
         self.grouped = self.pattern.groups == 1
+        self.reach = reach(source) if self.grouped else None
         self.guard = dict(rule.guards).get(order)
         self.resume = 0
 
+    def _from(self, text: str, floor: int) -> int:
+        """Where a prefix begins at the earliest whose value begins at floor or later: those inside of a span that was taken are passed over."""
+        at = min(self.resume, floor)
+        if self.reach is None or floor - at <= NEAR:
+            return at
+        most, free = self.reach
+        x = floor
+        while x > at:
+            c = text[x - 1]
+            if c < "\x80" and c not in free:
+                if not most:
+                    break
+                most -= 1
+            x -= 1
+        return x
+
     def seek(self, text: str, floor: int, guards: dict) -> tuple[int, int] | None:
         """The span of the first value that begins at floor or later. A prefix may begin before it."""
-        at = min(self.resume, floor) if self.grouped else floor
+        at = self._from(text, floor) if self.grouped else floor
         while m := self.pattern.search(text, at):
             start, stop = m.span(1) if self.grouped and m.start(1) >= 0 else m.span()
             if start >= floor and (self.guard is None or self._holds(text, start, guards)):
@@ -197,15 +277,19 @@ class Scanner:
                 heapq.heapreplace(heap, (span[0], rank, order, span[1], i))
         return out
 
-    def _text(self, text: str, matches: list[tuple], shift: int = 0) -> str:
-        """The text with tokens; its matches are added."""
-        chars, at, parts = self.settings.context_chars, 0, []
+    def _around(self, line: str, start: int, stop: int, shift: int = 0) -> tuple:
+        """(index, length, context before, context after) of a span of the line."""
+        chars = self.settings.context_chars
+        return start + shift, stop - start, *((line[max(0, start - chars) : start], line[stop : stop + chars]) if chars else (None, None))
+
+    def _text(self, text: str, matches: list[tuple], around) -> str:
+        """The text with tokens; its matches are added, around(start, stop) tells where they stand."""
+        at, parts = 0, []
         for start, stop, rule, value, quote in self.taken(text):
             new = self.token(rule, value)
             parts += (text[at:start], quote, new, quote)
             at = stop
-            before, after = (text[max(0, start - chars) : start], text[stop : stop + chars]) if chars else (None, None)
-            matches.append((self.rules[rule].id, value, new, start + shift, before, after))
+            matches.append((self.rules[rule].id, value, new, *around(start, stop)))
         return "".join([*parts, text[at:]]) if parts else text
 
     def _pieces(self, line: str):
@@ -219,28 +303,34 @@ class Scanner:
         yield at, line[at:]
 
     def line(self, line: str) -> tuple[str, bool, list[tuple]]:
-        """(output, whether the line is JSON, matches)."""
+        """(output, whether the line is JSON, matches). Places are those in the line, of what a JSON string decodes to as well."""
         matches: list[tuple] = []
         if len(line) > self.settings.max_line_chars:
-            return "".join([self._text(piece, matches, at) for at, piece in self._pieces(line)]), False, matches
+            pieces = [self._text(piece, matches, lambda a, b, at=at, piece=piece: self._around(piece, a, b, at)) for at, piece in self._pieces(line)]
+            return "".join(pieces), False, matches
         tree = fields.parse_json(line) if self.json else None
         if tree is None:
-            return self._text(line, matches), False, matches
+            return self._text(line, matches, lambda a, b: self._around(line, a, b)), False, matches
 
-        def put(value, key, parent):
-            text = fields.number_text(value) if isinstance(value, float) else value
+        def put(leaf: fields.Leaf, key, parent):
+            number = isinstance(leaf.value, float)
+            text = leaf.number() if number else leaf.value
             rule = None if key is None or text in fields.BLANK else self.resolve(key, parent)
             if rule is None:
-                return self._text(value, matches) if isinstance(value, str) else value
+                return leaf if number else self._text(text, matches, lambda a, b: self._around(line, leaf.place(a), leaf.place(b)))
             if self.allowed(self.rules[rule].id, text):
-                return value
+                return leaf
             new = self.token(rule, text)
-            matches.append((self.rules[rule].id, text, new, 0, *(("", "") if self.settings.context_chars else (None, None))))
+            matches.append((self.rules[rule].id, text, new, *self._around(line, leaf.start, leaf.stop)))
             return new
 
         end = line[len(line.rstrip("\r\n")) :]
         end = end[-2:] if end.endswith("\r\n") else end[-1:]
-        return fields.json_text(fields.walk(tree, put)) + end, True, matches
+        try:
+            return fields.json_text(fields.walk(tree, put)) + end, True, matches
+        except RecursionError:  # nested too deep to be written again: text like any other
+            matches.clear()
+            return self._text(line, matches, lambda a, b: self._around(line, a, b)), False, matches
 
 
 class Tokens:
@@ -272,7 +362,7 @@ class Once:
         return {"make": self.make, "settings": self.settings, "made": None}
 
 
-_KINDS = {"rule_id": pa.string(), "original": pa.string(), "replacement": pa.string(), "index": pa.int32(), "seq": pa.int32(), "context_before": pa.string(), "context_after": pa.string()}
+_KINDS = {"rule_id": pa.string(), "original": pa.string(), "replacement": pa.string(), "index": pa.int32(), "length": pa.int32(), "seq": pa.int32(), "context_before": pa.string(), "context_after": pa.string()}
 
 
 def _column(rows: list[tuple[str | None, bool, list[tuple]]]) -> pa.Array:
@@ -280,7 +370,7 @@ def _column(rows: list[tuple[str | None, bool, list[tuple]]]) -> pa.Array:
     sizes = np.fromiter((len(m) for _, _, m in rows), np.int32, len(rows))
     flat = [m for _, _, ms in rows for m in ms]
     ends = np.cumsum(sizes, dtype=np.int32)
-    parts = dict(zip(("rule_id", "original", "replacement", "index", "context_before", "context_after"), zip(*flat, strict=True) if flat else [()] * 6, strict=True))
+    parts = dict(zip(("rule_id", "original", "replacement", "index", "length", "context_before", "context_after"), zip(*flat, strict=True) if flat else [()] * 7, strict=True))
     parts["seq"] = np.arange(len(flat), dtype=np.int32) - np.repeat(ends - sizes, sizes)
     each = pa.StructArray.from_arrays([pa.array(parts[n], k) for n, k in _KINDS.items()], names=list(_KINDS))
     matches = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), each)
@@ -296,9 +386,16 @@ def redacted(text: Column, settings: Settings) -> Column:
         one = scanner().line
         return _column([(None, False, []) if line is None else one(line) for line in lines.to_pylist()])
 
-    return run.asNondeterministic()(F.make_valid_utf8(text))
+    return run(F.make_valid_utf8(text))
+
+
+def once(df: DataFrame, computed: Column, into: str) -> DataFrame:
+    """df with a computed column, as the one item of an exploded array: conditions on it are not moved below, where they would compute it again; all others are."""
+    others = "*" if into not in df.columns else [c for c in df.columns if c != into]
+    out = df.select(*([others] if others == "*" else others), F.explode(F.array(computed)).alias(into))
+    return out if others == "*" else out.select(*df.columns)
 
 
 def redact(df: DataFrame, column: str, settings: Settings, into: str = "redacted") -> DataFrame:
     """df with a struct (output, is_json, matches) of its column."""
-    return df.withColumn(into, redacted(F.col(column), settings))
+    return once(df, redacted(F.col(column), settings), into)

@@ -11,7 +11,7 @@ from ..errors import INVALID_OPTION, SanitizerError
 def matches_of(df: DataFrame, order: list[str], redacted: str = "redacted") -> DataFrame:
     """A row a match: rule_id, original, replacement, contexts, and ord, its place by the order columns."""
     m = F.explode(f"{redacted}.matches").alias("m")
-    return df.select(*order, m).select(F.struct(*order, F.col("m.seq").alias("seq")).alias("ord"), "m.*").drop("seq", "index")
+    return df.select(*order, m).select(F.struct(*order, F.col("m.seq").alias("seq")).alias("ord"), "m.*").drop("seq", "index", "length")
 
 
 def counts(matches: DataFrame) -> DataFrame:
@@ -75,42 +75,28 @@ def preview(df: DataFrame, line: str, order: list[str], preview_chars: int, reda
 
 
 def highlighted(lines: DataFrame, redacted: str = "redacted", line: str = "line") -> DataFrame:
-    """lines with before_segments and after_segments, arrays of (text, changed): originals found in order in the line, tokens in the output."""
+    """lines with before_segments and after_segments, arrays of (text, changed): the places of matches in the line, and tokens in the output."""
     segment = "struct<text:string,changed:boolean>"
     piece = lambda text, changed: F.struct(text.alias("text"), F.lit(changed).alias("changed"))
+    filled = lambda pieces: F.filter(pieces, lambda x: F.length(x["text"]) > 0)
     text, out = F.coalesce(F.col(line), F.lit("")), F.coalesce(F.col(f"{redacted}.output"), F.lit(""))
+    places = F.array_sort(F.transform(f"{redacted}.matches", lambda m: F.struct(m["index"].alias("index"), m["length"].alias("length"))))
 
-    def located(state, m):
-        # In a JSON line the value stands as its encoded string.
-        encoded = F.regexp_extract(F.to_json(F.array(m["original"])), r'(?s)^\["(.*)"\]$', 1)
-        needle = _needle(encoded, m["original"], text, state["at"])
-        place = _place(needle, text, state["at"])
-        gap = F.substr(text, state["at"], place - state["at"])
-        added = F.filter(F.array(piece(gap, False), piece(needle, True)), lambda x: F.length(x["text"]) > 0)
-        found = (place > 0) & (F.length(m["original"]) > 0)
-        return F.struct(F.when(found, place + F.length(needle)).otherwise(state["at"]).alias("at"), F.when(found, F.concat(state["seen"], added)).otherwise(state["seen"]).alias("seen"))
-
-    start = F.struct(F.lit(1).alias("at"), F.array().cast(f"array<{segment}>").alias("seen"))
-    before = F.aggregate(f"{redacted}.matches", start, located, lambda s: F.concat(s["seen"], F.filter(F.array(piece(F.substr(text, s["at"]), False)), lambda x: F.length(x["text"]) > 0)))
+    def cut(state, m):
+        gap, value = F.substr(text, state["at"] + 1, m["index"] - state["at"]), F.substr(text, m["index"] + 1, m["length"])
+        return F.struct((m["index"] + m["length"]).alias("at"), F.concat(state["seen"], filled(F.array(piece(gap, False), piece(value, True)))).alias("seen"))
+
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{segment}>").alias("seen"))
+    before = F.aggregate(places, start, cut, lambda s: F.concat(s["seen"], filled(F.array(piece(F.substr(text, s["at"] + 1), False)))))
     rest, tokens = F.split(out, TOKEN), F.regexp_extract_all(out, F.lit(f"({TOKEN})"))
     woven = F.flatten(F.transform(rest, lambda r, i: F.when(i < F.size(tokens), F.array(piece(r, False), piece(F.get(tokens, i), True))).otherwise(F.array(piece(r, False)))))
-    return lines.withColumns({"before_segments": before, "after_segments": F.filter(woven, lambda x: F.length(x["text"]) > 0)})
+    return lines.withColumns({"before_segments": before, "after_segments": filled(woven)})
 
 
 #: Fixed value: the form of a replacement.
 TOKEN = "<[A-Z][A-Z0-9]*:[0-9a-f]{16}>"
 
 
-def _place(needle, text, at):
-    """Place of needle in text from `at` on, from 1; 0 if it is not there."""
-    found = F.instr(F.substr(text, at), needle)
-    return F.when(found > 0, found + at - 1).otherwise(0)
-
-
-def _needle(encoded, plain, text, at):
-    return F.when(_place(encoded, text, at) > 0, encoded).otherwise(plain)
-
-
 def merge_reports(reports: list[dict], most_per_rule: int | None = None, preview_chars: int | None = None) -> dict:
     """Reports of disjoint parts, in their order, as one: sums; the first context of a value; limits hold anew.
 

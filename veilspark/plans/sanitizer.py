@@ -14,7 +14,7 @@ from ..errors import INVALID_KEY, INVALID_OPTION, INVALID_RULE, SanitizerError
 from ..functions.builtin_rules import BUILTIN
 from ..functions.rules import AllowList, KeyResolver, Rule, always_rule, compiled, resolve_rules, with_patterns
 from ..operators import report as R
-from ..operators.redact import MAX_LINE_CHARS, OVERLAP_CHARS, Once, Settings, Tokens, redact, redacted
+from ..operators.redact import MAX_LINE_CHARS, OVERLAP_CHARS, Once, Settings, Tokens, once, redact, redacted
 from ..sources import text as T
 from ..sources.shared import cut
 
@@ -190,4 +190,4 @@ class Sanitizer:
 
     def sanitize_stream(self, stream: DataFrame, column: str = "line") -> DataFrame:
         """Streaming or static rows with `column` replaced; stateless, so append mode holds."""
-        return stream.withColumn(column, self.column(F.col(column))["output"])
+        return once(stream, self.column(F.col(column))["output"], column)
