@@ -4,8 +4,9 @@ Two sets of a similarity of `num`/`den` or more share a shingle among the first
 n - ceil(n * num / den) + 1 of either one, in any order that is the same for all. The order
 here puts shingles first whose bucket of hashes has few occurrences in all documents, so a
 passage that very many documents have is in no prefix of a text with enough of its own.
-Documents that share a shingle of their prefixes are candidates, and are compared by their
-whole sets. Links are wanted for components: documents that are linked already are not
+Documents that share a shingle of their prefixes are candidates; from how many they share
+follows how many their sets can share at most, and where that is enough their whole sets
+are compared. Links are wanted for components: documents that are linked already are not
 compared again. In rounds, each shared shingle names one of its documents and the others
 not linked to it are compared with that one, until the pairs left are few; those are all
 compared. So a group of thousands of near copies is linked without all its pairs.
@@ -159,9 +160,15 @@ def shingle_links(docs: DataFrame, id_col: str, text_col: str, linked: DataFrame
 
 
 def _across(now: DataFrame, num: int, den: int) -> DataFrame:
-    """Distinct pairs of documents that share a key and are not linked: from pairs of components, so that no pair within one is made."""
+    """Distinct pairs of documents that share keys and are not linked: from pairs of components, so that no pair within one is made.
+
+    Of two prefixes one ends first; behind its end its set has about num of den parts left
+    to share, ahead of it only keys of both. So the shared keys bound what the sets share.
+    """
     of = now.select("key", "root").distinct()
     ways = of.join(of.select("key", F.col("root").alias("to")), "key").where(F.col("root") < F.col("to"))
     met = ways.join(now.select("key", "root", F.col("id").alias("a"), "n"), ["key", "root"])
     met = met.join(now.select("key", F.col("root").alias("to"), F.col("id").alias("b"), F.col("n").alias("m")), ["key", "to"])
-    return met.where(_fits("n", "m", num, den)).select("a", "b").distinct()
+    met = met.where(_fits("n", "m", num, den)).groupBy("a", "b").agg(F.count("*").alias("c"), F.max("n").alias("n"), F.max("m").alias("m"))
+    behind = F.call_function("div", F.greatest("n", "m") * num + den - 1, F.lit(den)) - 1
+    return met.where((F.col("c") + behind) * (num + den) >= (F.col("n") + F.col("m")) * num).select("a", "b")
