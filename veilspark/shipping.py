@@ -19,7 +19,7 @@ def ship(spark: SparkSession) -> None:
     at = os.path.join(tempfile.mkdtemp(), "veilspark.zip")
     with zipfile.ZipFile(at, "w") as out:
         for folder, _, names in os.walk(PACKAGE):
-            for name in sorted(n for n in names if n.endswith(".py")):
+            for name in sorted(n for n in names if n.endswith((".py", ".txt"))):
                 path = os.path.join(folder, name)
                 out.write(path, os.path.relpath(path, os.path.dirname(PACKAGE)))
     context.addPyFile(at)
