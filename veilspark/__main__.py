@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import argparse
-import itertools
 import json
 import sys
 import uuid
@@ -29,6 +28,7 @@ def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="veilspark", description="Redacts log lines and reports what was found.")
     p.add_argument("input", help="file or folder; - for standard input")
     p.add_argument("output", nargs="?", help="folder; IN.sanitized if not given")
+    p.add_argument("--files", action="store_true", help="a file of its own for each input file, with its name, order and last line")
     p.add_argument("--stdout", action="store_true", help="lines go to standard output, in order")
     p.add_argument("--key")
     p.add_argument("--key-file")
@@ -61,6 +61,7 @@ def main(argv: list[str] | None = None) -> int:
 
     from .plans.sanitizer import Sanitizer
     from .shipping import ship
+    from .sources.bounded import opened
     from .sources.shared import shared_dir
 
     try:
@@ -73,17 +74,22 @@ def main(argv: list[str] | None = None) -> int:
         spark = SparkSession.builder.getOrCreate()
         ship(spark)
         source = args.input
-        if source == "-":  # the driver's standard input, spooled as a table that executors read
+        if source == "-":  # the driver's standard input, spooled as it comes: executors read it in ranges
             source = f"{shared_dir(spark)}/stdin-{uuid.uuid4().hex}"
-            for k, rows in enumerate(iter(lambda: list(itertools.islice(sys.stdin, 100_000)), [])):
-                part = spark.createDataFrame([(r.removesuffix("\n"),) for r in rows], "value string").coalesce(1)
-                part.write.text(f"{source}/part={k:08d}", lineSep="\n")
+            store, at = opened(source)
+            with store.open_output_stream(at) as out:
+                read = getattr(sys.stdin, "buffer", sys.stdin).read
+                while block := read(1 << 20):
+                    out.write(block if isinstance(block, bytes) else block.encode())
         target = None if args.report_only else args.output or (None if args.stdout else f"{args.input}.sanitized" if args.input != "-" else None)
-        kept = sanitizer.scanned(spark, source)
-        report = sanitizer.report_of(kept, args.preview, args.replacements)
-        if target is not None:
-            sanitizer.write(kept, target)
-        if args.stdout or (args.input == "-" and target is None and not args.report_only):
+        if args.files and target is not None:
+            report, kept = sanitizer.sanitize_files(spark, source, target, args.preview, args.replacements), None
+        else:
+            kept = sanitizer.scanned(spark, source)
+            report = sanitizer.report_of(kept, args.preview, args.replacements)
+            if target is not None:
+                sanitizer.write(kept, target)
+        if kept is not None and (args.stdout or args.input == "-" and target is None and not args.report_only):
             for row in kept.orderBy("source", "block", "row").select("redacted.output").toLocalIterator(prefetchPartitions=True):
                 sys.stdout.write(f"{row.output}\n")
         text = report_text(report["line_count"], report["counts"])

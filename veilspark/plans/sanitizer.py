@@ -16,6 +16,7 @@ from ..functions.rules import AllowList, KeyResolver, Rule, always_rule, compile
 from ..operators import report as R
 from ..operators.redact import MAX_LINE_CHARS, OVERLAP_CHARS, Once, Settings, Tokens, once, redact, redacted
 from ..sources import text as T
+from ..sources.bounded import RANGE_BYTES, read_bounded, write_files
 from ..sources.shared import cut
 
 
@@ -178,6 +179,17 @@ class Sanitizer:
             self.write(kept, target)
         return self.report_of(kept, preview_chars, most_per_rule)
 
+    def sanitize_files(self, spark: SparkSession, source: str, target: str | None, preview_chars: int = 0, most_per_rule: int | None = 1000, range_bytes: int = RANGE_BYTES) -> dict:
+        """A file, or each file below a folder, to a file of the same name below target: same order, line ends and last line. Gives the report; lines are scanned once.
+
+        Files are read in ranges of range_bytes, lines beyond max_line_chars in pieces, so a task's memory is bounded however long they are.
+        """
+        rows = read_bounded(spark, source, self.settings.max_line_chars, self.settings.overlap_chars, range_bytes)
+        kept = cut(self.transform(rows, "line"))
+        if target is not None:
+            write_files(kept.withColumn("line", F.col("redacted.output")), source, target)
+        return self._report(kept.where("ended or line <> ''"), "line", ["source", "offset", "piece"], preview_chars, most_per_rule)
+
     def scanned(self, spark: SparkSession, source: str) -> DataFrame:
         """Lines of files with what they become, kept in the shared folder."""
         return cut(self.transform(T.read_lines(spark, source), "line"))
