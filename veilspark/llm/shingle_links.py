@@ -130,10 +130,12 @@ def shingle_links(docs: DataFrame, id_col: str, text_col: str, linked: DataFrame
     keys = stored(rows.groupBy("key").count().where("count > 1").select("key"))
     shared = stored(rows.join(keys.hint("shuffle_hash"), "key", "left_semi"))
     told_rows = shared.count()
-    ids = shared.select("id").distinct()
-    sets = stored(texts.join(ids.hint("shuffle_hash"), "id", "left_semi").mapInArrow(_whole, "id long, shingles array<long>"))
 
     def alike(pairs: DataFrame) -> DataFrame:
+        """Pairs whose whole sets are similar. Only documents of pairs have their sets made; which they are is a table, so where they are few Spark sends them to the texts."""
+        pairs = cut(pairs)
+        ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+        sets = stored(texts.join(ids, "id", "left_semi").mapInArrow(_whole, "id long, shingles array<long>"))
         a, b = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
         both = F.size(F.array_intersect("x", "y"))
         return pairs.join(a, "a").join(b, "b").where(both * (num + den) >= (F.size("x") + F.size("y")) * num).select("a", "b")
