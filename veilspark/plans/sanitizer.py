@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..errors import INVALID_KEY, INVALID_OPTION, INVALID_RULE, SanitizerError
 from ..functions.builtin_rules import BUILTIN
 from ..functions.rules import AllowList, KeyResolver, Rule, always_rule, compiled, resolve_rules, with_patterns
+from ..operators import nested as N
 from ..operators import report as R
 from ..operators.redact import MAX_LINE_CHARS, OVERLAP_CHARS, Once, Settings, Tokens, once, redact, redacted
 from ..sources import text as T
@@ -129,6 +130,24 @@ class Sanitizer:
 
         return df.withColumns({c: replaced(ids.index(rule))(F.col(c).cast("string")) for c, rule in named.items()})
 
+    def transform_nested(self, df: DataFrame, columns: Iterable[str] | None = None) -> DataFrame:
+        """Replaces whole values of all columns, or of those named, and below their structs, arrays and maps, where names ask for it: as JSON lines are walked.
+
+        Empty values and "-" stay, nulls too. Numbers that are replaced become text. Columns without such a name are passed on untouched.
+        """
+        resolve, tokens, allowed, ids = KeyResolver(self.rules), Once(Tokens, self.settings), self.settings.allow, [r.id for r in self.rules]
+        plans = {f.name: N.planned(f.dataType, resolve, f.name) for f in df.schema if columns is None or f.name in set(columns)}
+
+        def column(name: str, plan, kind) -> Column:
+            @F.arrow_udf(kind)
+            def run(values: pa.Array) -> pa.Array:
+                token, exempt = tokens().token, allowed.matcher()
+                return N.rewritten(values, plan, resolve, lambda rule, text: text if exempt(ids[rule], text) else token(rule, text))
+
+            return run(F.col(f"`{name}`"))
+
+        return df.withColumns({name: column(name, plan, kind) for name, (plan, kind) in plans.items() if plan is not None})
+
     def rule_catalog(self, spark: SparkSession) -> DataFrame:
         rows = [(i, r.id, r.label, r.mode, r.prefix, len(r.patterns), list(r.json_keys), list(r.json_key_contains)) for i, r in enumerate(self.rules)]
         return spark.createDataFrame(rows, "priority int, rule_id string, label string, mode string, prefix string, n_patterns int, json_keys array<string>, json_key_contains array<string>")
