@@ -20,7 +20,7 @@ def line_fails(line):
     filled = sum(map(len, words))
     low = line.lower()
     return (
-        (seps >= Q.SEPARATORS and len(words) <= Q.WORDS_PER_SEPARATOR * (seps + 1)) or any(p in low for p in Q.BOILERPLATE)
+        (seps >= Q.SEPARATORS and len(words) <= Q.WORDS_PER_SEPARATOR * (seps + 1)) or 0 < len(words) <= Q.WORDS_PER_PHRASE * sum(low.count(p) for p in Q.BOILERPLATE)
         or 2 * letters < filled or (syms >= Q.LEAST_SYMBOLS and 100 * syms > Q.SYMBOL_PERCENT * len(words))
     )
 

@@ -21,6 +21,9 @@ MIN_WORDS, WINDOW, REPEAT_PERCENT = 10, 5, 20
 #: A line is navigation if it has at least so many separators and at most so many words for each.
 SEPARATORS, WORDS_PER_SEPARATOR = 3, 3
 
+#: A line that has phrases of boilerplate fails if it has at most so many words for each: in longer ones they are prose.
+WORDS_PER_PHRASE = 15
+
 #: A document is rejected if it loses more than this percentage of the characters in its words.
 LOST_PERCENT = 50
 
@@ -77,6 +80,8 @@ FIRST_LETTERS = "(?=[" + "".join(sorted({p[0] for p in BOILERPLATE})) + "])"
 
 BOILERPLATE_PATTERN = "(" + "|".join(p.replace("(", "[(]").replace(")", "[)]") for p in BOILERPLATE) + ")"
 
+PHRASES = FIRST_LETTERS + BOILERPLATE_PATTERN
+
 #: Runs of letters with their marks, and characters that are not white space: a line with fewer letters than other such characters is punctuation.
 LETTERS, FILLED = r"[a-zA-Z\p{L}\p{M}]+", r"[^\x20\x09-\x0D]"
 
@@ -86,17 +91,19 @@ def _words_of(text: Column) -> Column:
     return F.btrim(F.regexp_replace(text, WS, " "), F.lit(" "))
 
 
-def line_fails(line: Column) -> Column:
-    """The verdict on one line with a word."""
+def line_fails(line: Column, phrases: Column | None = None, separated: Column | None = None, marked: Column | None = None) -> Column:
+    """The verdict on one line with a word. phrases, separated, marked: whether its whole text has any phrase, separator or symbol, for else no line is searched for them."""
+    some = lambda told, verdict: verdict if told is None else told & verdict
     words = _words_of(line)
     n = F.length(words) - F.length(F.translate(words, " ", "")) + 1
     separators = F.regexp_count(line, F.lit(SEPARATOR_CLASS))
-    navigation = (separators >= SEPARATORS) & (n <= WORDS_PER_SEPARATOR * (separators + 1))
-    boilerplate = F.lower(line).rlike(FIRST_LETTERS + BOILERPLATE_PATTERN)
-    letters, filled = F.length(line) - F.length(F.regexp_replace(line, LETTERS, "")), F.length(F.regexp_replace(line, WS, ""))
+    navigation = some(separated, (separators >= SEPARATORS) & (n <= WORDS_PER_SEPARATOR * (separators + 1)))
+    low = F.lower(line)
+    boilerplate = some(phrases, low.rlike(PHRASES) & (n <= WORDS_PER_PHRASE * F.regexp_count(low, F.lit(PHRASES))))
+    letters, filled = F.length(line) - F.length(F.regexp_replace(line, LETTERS, "")), F.length(words) - n + 1
     punctuation = 2 * letters < filled
     symbols = F.regexp_count(line, F.lit(SYMBOL_CLASS))
-    noisy = (symbols >= LEAST_SYMBOLS) & (100 * symbols > SYMBOL_PERCENT * n)
+    noisy = some(marked, (symbols >= LEAST_SYMBOLS) & (100 * symbols > SYMBOL_PERCENT * n))
     return navigation | boilerplate | punctuation | noisy
 
 
@@ -109,7 +116,7 @@ def quality_rules(docs: DataFrame, text_col: str = "text") -> DataFrame:
     an empty table stays empty; clashing names take underscores.
     """
     names = {c: free_name(docs, c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines_removed", "cleaned_text")}
-    t = {c: free_name(docs, f"__{c}") for c in ("text", "norm", "hashes", "two", "four", "win", "lines", "bad", "pos")}
+    t = {c: free_name(docs, f"__{c}") for c in ("text", "norm", "hashes", "two", "four", "win", "lines", "bad", "pos", "phrases", "separated", "marked")}
     zero = F.lit(0).cast("long")
 
     df = docs.withColumn(t["text"], whole_text(text_col))
@@ -139,7 +146,10 @@ def quality_rules(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     df = df.withColumn(t["lines"], F.split(F.col(t["text"]), "\n"))
     lines = F.filter(F.col(t["lines"]), lambda x: x.rlike(FILLED))
-    df = df.withColumn(t["bad"], F.transform(F.col(t["lines"]), lambda x: x.rlike(FILLED) & line_fails(x)))
+    text = F.col(t["text"])
+    df = df.withColumns({t["phrases"]: F.lower(text).rlike(PHRASES), t["separated"]: text.rlike(SEPARATOR_CLASS), t["marked"]: text.rlike(SYMBOL_CLASS)})
+    had = [F.col(t[c]) for c in ("phrases", "separated", "marked")]
+    df = df.withColumn(t["bad"], F.transform(F.col(t["lines"]), lambda x: x.rlike(FILLED) & line_fails(x, *had)))
     removed = F.aggregate(F.col(t["bad"]), F.lit(0), lambda s, x: s + x.cast("int"))
     kept_lines = F.when(
         F.array_contains(F.col(t["bad"]), True),
@@ -180,11 +190,11 @@ r AS (SELECT rid, i FROM g QUALIFY count(*) OVER (PARTITION BY rid, win) > 1),
 rep AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest([i, i + 1, i + 2, i + 3, i + 4]) AS p FROM r) GROUP BY rid),
 l AS (
   SELECT rid, line, len(regexp_extract_all(line, '{SEPARATOR_CLASS}')) AS seps, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS nw,
-         len(regexp_extract_all(line, '[\p{{L}}\p{{M}}]')) AS letters, len(regexp_extract_all(line, '{SYMBOL_CLASS}')) AS syms, length(regexp_replace(line, '[\x20\x09-\x0D]+', '', 'g')) AS filled
+         len(regexp_extract_all(line, '[\p{{L}}\p{{M}}]')) AS letters, len(regexp_extract_all(line, '{SYMBOL_CLASS}')) AS syms, len(regexp_extract_all(lower(line), '{BOILERPLATE_PATTERN}')) AS phrases, length(regexp_replace(line, '[\x20\x09-\x0D]+', '', 'g')) AS filled
   FROM (SELECT rid, unnest(string_split(t, chr(10))) AS line FROM d)
 ),
 v AS (
-  SELECT *, (seps >= {SEPARATORS} AND nw <= {WORDS_PER_SEPARATOR} * (seps + 1)) OR regexp_matches(lower(line), '{BOILERPLATE_PATTERN}') OR 2 * letters < filled
+  SELECT *, (seps >= {SEPARATORS} AND nw <= {WORDS_PER_SEPARATOR} * (seps + 1)) OR (phrases > 0 AND nw <= {WORDS_PER_PHRASE} * phrases) OR 2 * letters < filled
          OR (syms >= {LEAST_SYMBOLS} AND 100 * syms > {SYMBOL_PERCENT} * nw) AS bad
   FROM l WHERE nw > 0
 ),
