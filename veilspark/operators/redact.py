@@ -377,12 +377,14 @@ def _column(rows: list[tuple[str | None, bool, list[tuple]]]) -> pa.Array:
     return pa.StructArray.from_arrays([pa.array([o for o, _, _ in rows], pa.string()), pa.array([j for _, j, _ in rows], pa.bool_()), matches], names=["output", "is_json", "matches"])
 
 
-def redacted(text: Column, settings: Settings) -> Column:
-    """Struct (output, is_json, matches) of a string column; a null has a null output and no matches."""
+def redacted(text: Column, settings: Settings, lines_seen=None) -> Column:
+    """Struct (output, is_json, matches) of a string column; a null has a null output and no matches. lines_seen: an accumulator to count on, once a task that ends."""
     scanner = Once(Scanner, settings)
 
     @F.arrow_udf(RESULT)
     def run(lines: pa.Array) -> pa.Array:
+        if lines_seen is not None:
+            lines_seen.add(len(lines))
         one = scanner().line
         return _column([(None, False, []) if line is None else one(line) for line in lines.to_pylist()])
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import secrets
-from collections.abc import Iterable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -19,6 +19,7 @@ from ..operators.redact import MAX_LINE_CHARS, OVERLAP_CHARS, Once, Settings, To
 from ..sources import text as T
 from ..sources.bounded import RANGE_BYTES, read_bounded, write_files
 from ..sources.shared import cut
+from .runs import Run
 
 
 def generate_key(n_bytes: int = 32) -> str:
@@ -198,17 +199,22 @@ class Sanitizer:
             self.write(kept, target)
         return self.report_of(kept, preview_chars, most_per_rule)
 
-    def sanitize_files(self, spark: SparkSession, source: str, target: str | None, preview_chars: int = 0, most_per_rule: int | None = 1000, range_bytes: int = RANGE_BYTES) -> dict:
+    def sanitize_files(self, spark: SparkSession, source: str, target: str | None, preview_chars: int = 0, most_per_rule: int | None = 1000, range_bytes: int = RANGE_BYTES, lines_seen=None) -> dict:
         """A file, or each file below a folder, to a file of the same name below target: same order, line ends and last line. Gives the report; lines are scanned once.
 
         Files are read in ranges of range_bytes, lines beyond max_line_chars in pieces, so a task's memory is bounded however long they are.
         """
         rows = read_bounded(spark, source, self.settings.max_line_chars, self.settings.overlap_chars, range_bytes)
-        kept = cut(self.transform(rows, "line"))
+        kept = cut(once(rows, redacted(F.col("line"), self.settings, lines_seen), "redacted"))
         if target is not None:
             write_files(kept.withColumn("line", F.col("redacted.output")), source, target)
         return self._report(kept.where("ended or line <> ''"), "line", ["source", "offset", "piece"], preview_chars, most_per_rule)
 
+    def start_files(self, spark: SparkSession, source: str, target: str | None, on_progress: Callable[[dict], None] | None = None, every: float = 0.5, **options) -> Run:
+        """sanitize_files() beside the caller: progress(), abort() and result() of the run. A file of an aborted run is there whole or not at all."""
+        lines = spark.sparkContext.accumulator(0)
+        return Run(spark, lambda: self.sanitize_files(spark, source, target, lines_seen=lines, **options), lines, on_progress, every)
+
     def scanned(self, spark: SparkSession, source: str) -> DataFrame:
         """Lines of files with what they become, kept in the shared folder."""
         return cut(self.transform(T.read_lines(spark, source), "line"))

@@ -225,9 +225,6 @@ def write_files(rows: DataFrame, root: str, target: str, part_rows: int = 1_000_
             out.close()
             yield _told(source, first, path, size)
 
-    # The list of parts is kept before anything is put together: what a task that runs again wrote is not in it.
-    listed = cut(placed.mapInArrow(parts, "source string, first long, piece int, path string, bytes long"))
-
     def whole(table: pa.Table) -> pa.Table:
         name = table.column("source")[0].as_py()
         below = name[len(base) :].lstrip("/") if name.startswith(base) and name != base else posixpath.basename(name)
@@ -242,11 +239,14 @@ def write_files(rows: DataFrame, root: str, target: str, part_rows: int = 1_000_
         store.move(own, final)
         return pa.table({"file": [final], "bytes": pa.array([sum(table.column("bytes").to_pylist())], pa.int64()), "parts": pa.array([table.num_rows], pa.int64())})
 
-    written = cut(listed.groupBy("source").applyInArrow(whole, "file string, bytes long, parts long"))
-    store, at = opened(scratch)
-    if store.get_file_info(at).type == fs.FileType.Directory:
-        store.delete_dir(at)
-    return written
+    try:
+        # The list of parts is kept before anything is put together: what a task that runs again wrote is not in it.
+        listed = cut(placed.mapInArrow(parts, "source string, first long, piece int, path string, bytes long"))
+        return cut(listed.groupBy("source").applyInArrow(whole, "file string, bytes long, parts long"))
+    finally:
+        store, at = opened(scratch)
+        if store.get_file_info(at).type == fs.FileType.Directory:
+            store.delete_dir(at)
 
 
 def _told(source: str, first: tuple[int, int], path: str, size: int) -> pa.RecordBatch:
