@@ -7,13 +7,16 @@ from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field, replace
 from functools import lru_cache
 
-from ..errors import INVALID_RULE, SanitizerError
+from ..errors import INVALID_OPTION, INVALID_RULE, SanitizerError
 
 #: White space of the pattern language, inside a character class.
 WHITE = r"\t\n\v\f\r \xa0  -     　﻿"
 
 PSEUDO, MASK = "pseudo", "mask"
 
+#: Values up to which each is a pattern of its own; characters of all that a list may have. Beyond a megabyte Spark broadcasts what goes with a function.
+FEW_LITERALS, MOST_LITERAL_CHARS = 16, 32 << 20
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -31,6 +34,8 @@ class Rule:
     json_key_contains: tuple[str, ...] = ()
     #: (number of a pattern, function of a text that gives a test of where a value starts): what a look-behind of any length would ask.
     guards: tuple[tuple[int, Callable[[str], Callable[[int], bool]]], ...] = ()
+    #: Values that are found as they are, the longest at a place; they come before patterns, and any number of them costs the same scan.
+    literals: tuple[str, ...] = ()
 
     @property
     def prefix(self) -> str:
@@ -86,7 +91,7 @@ def define_rule(rule: Rule) -> Rule:
         _refuse(rule, "mode is pseudo or mask")
     if rule.token is not None and not re.fullmatch(r"[A-Z][A-Z0-9]*", rule.token):
         _refuse(rule, "token has to be capital letters and digits")
-    if not rule.patterns and not rule.aggressive:
+    if not rule.patterns and not rule.aggressive and not rule.literals:
         _refuse(rule, "it has no patterns")
     for source in (*rule.patterns, *rule.aggressive):
         if not isinstance(source, str) or not source:
@@ -124,10 +129,13 @@ def resolve_rules(selectors: Iterable[Rule | str], builtin: dict[str, Rule], ext
 def always_rule(values: Iterable[str] = (), patterns: Iterable[str] = (), rule_id: str = "custom", mode: str = PSEUDO, token: str | None = None) -> Rule | None:
     """A rule of literal values, longest first, and patterns; None if there are none."""
     literals = sorted({v.strip() for v in values if v.strip()}, key=lambda v: (-len(v), v))
-    sources = [*map(re.escape, literals), *patterns]
-    if not sources:
+    if sum(map(len, literals)) > MOST_LITERAL_CHARS:
+        raise SanitizerError(INVALID_OPTION, f"values have more than {MOST_LITERAL_CHARS} characters: each worker holds them")
+    few = len(literals) <= FEW_LITERALS
+    sources = [*(map(re.escape, literals) if few else ()), *patterns]
+    if not literals and not sources:
         return None
-    return define_rule(Rule(rule_id, "Always redacted", "Values and patterns that are always redacted.", mode, token, tuple(sources)))
+    return define_rule(Rule(rule_id, "Always redacted", "Values and patterns that are always redacted.", mode, token, tuple(sources), literals=() if few else tuple(literals)))
 
 
 @dataclass(frozen=True)

@@ -14,6 +14,7 @@ import hashlib
 import heapq
 import hmac
 import re
+from bisect import bisect_left
 from dataclasses import dataclass, field
 from functools import lru_cache
 
@@ -209,6 +210,33 @@ class Cursor:
         return guards[self.guard](start)
 
 
+class Literals:
+    """The next value of a list in a text: an automaton finds all of them in one pass, the longest counts at each place."""
+
+    __slots__ = ("rank", "order", "needs", "check", "resume", "automaton")
+
+    def __init__(self, rank: int, rule: Rule):
+        import ahocorasick
+
+        self.rank, self.order, self.needs, self.check, self.resume = rank, -1, (), rule.validate, 0
+        self.automaton = ahocorasick.Automaton()
+        for value in rule.literals:
+            self.automaton.add_word(value, len(value))
+        self.automaton.make_automaton()
+
+    def seek(self, text: str, floor: int, found: dict) -> tuple[int, int] | None:
+        """The span of the first value that begins at floor or later; `found` keeps a text's values."""
+        if self not in found:
+            longest: dict[int, int] = {}
+            for last, n in self.automaton.iter(text):  # longer ones end later
+                longest[last + 1 - n] = last + 1
+            starts = sorted(longest)
+            found[self] = starts, [longest[a] for a in starts]
+        starts, stops = found[self]
+        k = bisect_left(starts, floor)
+        return (starts[k], stops[k]) if k < len(starts) else None
+
+
 class Scanner:
     """Values and replacements of lines."""
 
@@ -217,6 +245,7 @@ class Scanner:
         self.allowed = settings.allow.matcher()
         self.resolve = KeyResolver(list(settings.rules))
         self.cursors = [Cursor(rank, k, p, rule) for rank, rule in enumerate(settings.rules) for k, p in enumerate(rule.patterns)]
+        self.cursors += [Literals(rank, rule) for rank, rule in enumerate(settings.rules) if rule.literals]
         self.token = Tokens(settings).token
         #: Characters that gates ask for; of those that a text has, which cursors may find something.
         self.telling = frozenset().union(*(n for c in self.cursors for n in c.needs))
