@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from ..errors import INVALID_OPTION, SanitizerError
 
 
+#: Groups that meet in one at each level of a search for a rule's first values.
+SHARES = 16
+
+
 def matches_of(df: DataFrame, order: list[str], redacted: str = "redacted") -> DataFrame:
     """A row a match: rule_id, original, replacement, contexts, and ord, its place by the order columns."""
     m = F.explode(f"{redacted}.matches").alias("m")
@@ -35,9 +39,22 @@ def replacements(matches: DataFrame, most_per_rule: int | None = None) -> DataFr
     by = F.min_by(F.struct("replacement", "context_before", "context_after"), "first")
     rows = matches.groupBy("rule_id", "original").agg(F.sum("n").alias("n"), F.min("first").alias("first"), by.alias("c"))
     rows = rows.select("rule_id", "original", "c.replacement", "n", "c.context_before", "c.context_after", "first")
-    if most_per_rule is None:
-        return rows
-    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("rule_id").orderBy("first"))).where(F.col("rank") <= most_per_rule).drop("rank")
+    return rows if most_per_rule is None else first_of_each_rule(rows, most_per_rule)
+
+
+def first_of_each_rule(rows: DataFrame, most: int, shares: int = SHARES) -> DataFrame:
+    """The rows of each rule that come first, by distinct places `first`.
+
+    In levels: a rule's values are dealt by hash over shares * shares groups, each keeps its
+    first ones, and what is left meets in `shares` groups and then in one, which has
+    shares * most rows at most, however many values the rule has.
+    """
+    dealt = F.pmod(F.xxhash64("original", F.lit(7)), F.lit(shares * shares))
+    rows = rows.withColumn("__share", dealt)
+    for keys in ([F.col("__share")], [F.pmod("__share", F.lit(shares))], []):
+        by_place = Window.partitionBy("rule_id", *keys).orderBy("first")
+        rows = rows.withColumn("__rank", F.row_number().over(by_place)).where(F.col("__rank") <= most).drop("__rank")
+    return rows.drop("__share")
 
 
 def truncated(matches: DataFrame, most_per_rule: int | None) -> bool:

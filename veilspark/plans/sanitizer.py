@@ -22,6 +22,10 @@ from ..sources.shared import cut
 from .runs import Run
 
 
+#: Distinct values of a rule that a report on the driver has at most; R.replacements() gives tables of any size.
+MOST_ON_DRIVER = 100_000
+
+
 def generate_key(n_bytes: int = 32) -> str:
     """Random key in hexadecimal, made once on the driver."""
     if n_bytes < 16:
@@ -165,11 +169,12 @@ class Sanitizer:
         return "\n".join(lines) + ("\n" if text.endswith("\n") else ""), report
 
     def report(self, df: DataFrame, line: str, order: list[str], preview_chars: int = 0, most_per_rule: int | None = 1000) -> dict:
-        """Summary on the driver: counts by rule, totals, replacements (most_per_rule a rule) and a preview of bounded size."""
+        """Summary on the driver: counts by rule, totals, replacements (most_per_rule a rule, MOST_ON_DRIVER at most) and a preview of bounded size."""
         return self._report(cut(df.select(*order, line, "redacted")), line, order, preview_chars, most_per_rule)
 
     def _report(self, kept: DataFrame, line: str, order: list[str], preview_chars: int, most_per_rule: int | None) -> dict:
         """From rows that are stored: nothing here scans a line again."""
+        most_per_rule = MOST_ON_DRIVER if most_per_rule is None else min(most_per_rule, MOST_ON_DRIVER)
         matches = R.matches_of(kept, order)
         counted = {r.rule_id: r.n for r in R.counts(matches).collect()}
         return {

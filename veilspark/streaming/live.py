@@ -10,7 +10,7 @@ one task, as rows come to it in no order and the first ones are wanted.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -79,8 +79,7 @@ class LiveReport:
             rows = rows.where(F.col("last") > number - self.live_batches)
         rows = cut(rows)
         full = rows.groupBy("rule_id").count().where(F.col("count") > self.most_per_rule).select("rule_id", F.lit(True).alias("truncated"))
-        by_place = Window.partitionBy("rule_id").orderBy("first")
-        rows.withColumn("rank", F.row_number().over(by_place)).where(F.col("rank") <= self.most_per_rule).drop("rank").write.mode("overwrite").parquet(self._at(number, VALUES))
+        R.first_of_each_rule(rows, self.most_per_rule).write.mode("overwrite").parquet(self._at(number, VALUES))
 
         shown, used = prior(PREVIEW), 0
         if shown is not None:
