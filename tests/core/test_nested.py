@@ -9,9 +9,9 @@ from veilspark.plans.sanitizer import Sanitizer
 
 KEY = "0123456789abcdef" * 4
 RECORDS = [
-    {"user": {"name": "maria"}, "client": {"ip": "203.0.113.7"}, "session": {"id": "opaque-session"}, "source": {"address": "198.51.100.4"}, "email": {"address": "maria"}, "service": {"name": "auth-api"}},
+    {"user": {"name": "ines"}, "client": {"ip": "10.20.30.40"}, "session": {"id": "s-0001"}, "source": {"address": "10.20.30.42"}, "email": {"address": "ines"}, "service": {"name": "billing"}},
     {"user": {"name": None}, "client": None, "session": {"id": ""}, "source": {"address": "-"}, "email": {"address": "bob"}, "service": {"name": "x"}},
-    {"emails": ["a.one@corp.example", None, "-"], "coordinates": [17.1077, 48.0], "tags": ["blue", "green"], "user.name": "maria", "source.ip": "203.0.113.9", "service.name": "auth-api"},
+    {"emails": ["ann@mail-corp.com", None, "-"], "coordinates": [12.5, 41.0], "tags": ["new", "old"], "user.name": "ines", "source.ip": "10.20.30.41", "service.name": "billing"},
     {"events": [{"user": {"name": "eve", "seen": [1, 2]}}, {"user": None}], "max_tokens": 5},
 ]
 SCHEMA = (
