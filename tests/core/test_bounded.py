@@ -124,10 +124,19 @@ def test_written_files_have_parts_in_order(spark, tmp_path):
     assert [p for p, _ in files_below(str(tmp_path / "out"))] == [str(tmp_path / "out" / n) for n in sorted(texts)]
 
 
-def test_files_from_the_command_line(spark, tmp_path):
+def test_files_from_the_command_line(spark, tmp_path, capsys, monkeypatch):
     from veilspark.__main__ import main
 
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.txt").write_bytes(b"x 10.0.0.1\r\nlast")
     assert main([str(tmp_path / "in"), str(tmp_path / "out"), "--files", "--key", KEY, "--key-encoding", "hex", "--quiet"]) == 0
     assert (tmp_path / "out" / "a.txt").read_bytes() == f"x {Sanitizer(KEY).token('ips', '10.0.0.1')}\r\nlast".encode()
+    assert main([str(tmp_path / "in"), str(tmp_path / "out"), "--files", "--progress", "--key", KEY, "--key-encoding", "hex", "--quiet"]) == 0
+    assert capsys.readouterr().err.splitlines()[-1].startswith("lines: 2, tasks: ")
+
+    from veilspark.plans.runs import Run
+
+    real = Run.result
+    monkeypatch.setattr(Run, "result", lambda self: real(self) if self.aborted else (_ for _ in ()).throw(KeyboardInterrupt))
+    assert main([str(tmp_path / "in"), str(tmp_path / "none"), "--files", "--key", KEY, "--key-encoding", "hex", "--quiet"]) == 1
+    assert "aborted" in capsys.readouterr().err and not list((tmp_path / "none").rglob("*.txt"))

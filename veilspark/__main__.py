@@ -8,7 +8,7 @@ import sys
 import uuid
 from pathlib import Path
 
-from .errors import SanitizerError, is_sanitizer_error
+from .errors import ABORTED, SanitizerError, is_sanitizer_error
 from .functions.builtin_rules import BUILTIN
 from .functions.rules import Rule
 from .operators.report import report_text
@@ -29,6 +29,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("input", help="file or folder; - for standard input")
     p.add_argument("output", nargs="?", help="folder; IN.sanitized if not given")
     p.add_argument("--files", action="store_true", help="a file of its own for each input file, with its name, order and last line")
+    p.add_argument("--progress", action="store_true", help="lines and tasks on standard error as --files goes on")
     p.add_argument("--stdout", action="store_true", help="lines go to standard output, in order")
     p.add_argument("--key")
     p.add_argument("--key-file")
@@ -83,7 +84,13 @@ def main(argv: list[str] | None = None) -> int:
                     out.write(block if isinstance(block, bytes) else block.encode())
         target = None if args.report_only else args.output or (None if args.stdout else f"{args.input}.sanitized" if args.input != "-" else None)
         if args.files and target is not None:
-            report, kept = sanitizer.sanitize_files(spark, source, target, args.preview, args.replacements), None
+            kept, told = None, (lambda p: sys.stderr.write(f"lines: {p['lines']}, tasks: {p['tasks_done']} of {p['tasks']}\n")) if args.progress else None
+            run = sanitizer.start_files(spark, source, target, told, preview_chars=args.preview, most_per_rule=args.replacements)
+            try:
+                report = run.result()
+            except KeyboardInterrupt:
+                run.abort()
+                report = run.result()
         else:
             kept = sanitizer.scanned(spark, source)
             report = sanitizer.report_of(kept, args.preview, args.replacements)
@@ -99,7 +106,7 @@ def main(argv: list[str] | None = None) -> int:
             sys.stderr.write(text)
     except (SanitizerError, OSError, TypeError, json.JSONDecodeError) as e:
         sys.stderr.write(f"{e}\n")
-        return 2 if is_sanitizer_error(e) else 1
+        return 2 if is_sanitizer_error(e) and e.code != ABORTED else 1
     return 3 if args.fail_on_match and report["total_matches"] else 0
 
 
