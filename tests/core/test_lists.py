@@ -54,3 +54,18 @@ def test_lists_have_a_bound_and_fit_other_rules(monkeypatch):
     out, _, matches = Scanner(Settings((rule,), b"k")).line('{"x": "eve and bob"}')
     assert [(m[1], m[3]) for m in matches] == [("eve", 7)] and "bob" in out
     assert isinstance(Scanner(Settings((rule,), b"k")).cursors[-1], redact.Literals)
+
+
+def test_a_table_exempts_what_a_list_exempts(spark):
+    values = ["10.0.0.1", "eve", "48.5", "x@corp-mail.com", None, "eve", 'a"b']
+    lines = ["10.0.0.1 10.0.0.2", '{"user": "eve", "username": "a\\"b", "lat": 48.5, "ip": "10.0.0.1", "note": "x@corp-mail.com 10.0.0.3"}', "none", None, "", "user=eve host=web-1", 'ev "userId": 77, "latitude": 48.5', "y@corp-mail.com"]
+    df = spark.createDataFrame([(i, x, 0) for i, x in enumerate(lines)], "i int, line string, __row int").repartition(3)
+    exempt = spark.createDataFrame([(v,) for v in values], "value string")
+    s, t = Sanitizer(KEY, context_chars=4), Sanitizer(KEY, context_chars=4, never_values=[v for v in values if v])
+    out = s.transform_except(df, exempt)
+    assert out.columns == ["i", "line", "__row", "redacted"]
+    assert sorted(out.collect()) == sorted(t.transform(df).collect())
+    assert sorted(s.transform_except(df, exempt.limit(0)).collect()) == sorted(s.transform(df).collect())
+    assert s.transform_except(df.limit(0), exempt).count() == 0
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "corp-mail" not in plan

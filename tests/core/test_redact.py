@@ -158,3 +158,37 @@ def test_batches_of_a_stream_and_counts_alone(spark, tmp_path):
     assert len(parts) == 3 and sum(n for p in parts for _, n in p) == 6
     assert {r.rule_id: r.n for r in s.sanitize_path(spark, str(tmp_path / "in"), None).collect()} == {"ips": 6}
     assert sorted(p.name for p in tmp_path.iterdir()) == ["cp", "in"]
+
+
+def test_places_in_json_lines(spark):
+    """Index, length and context are those of the line, for what keys name and for what stands inside texts."""
+    import json
+
+    from veilspark.operators.redact import Scanner
+
+    one = Scanner(Sanitizer(KEY, context_chars=8).settings).line
+    assert [m[3:] for m in one('{"username":"user","x":"10.0.0.9 hi"}')[2]] == [(13, 4, 'name":"'.rjust(8, "r"), '","x":"1'), (24, 8, 'r","x":"', ' hi"}')]
+    lines = [
+        '{"username":"user","x":"10.0.0.9 hi"}', '{"a":4.5,"latitude":4.5}', ' { "b" : [ {"email" : "x\\u0040y.com"}, "\\ud83d\\ude00 10.0.0.1 \\n\\"q\\" 10.0.0.2" ] , "lon": -12.250 } ',
+        '{"user":"a\\\\b\\"c","user":"last"}', '[["10.0.0.3"],{"ip":{"v":"10.0.0.4"}}]', '{"message":"CORP\\\\jdoe {\\"user\\": \\"eve\\"}"}',
+    ]
+    for line in lines:
+        json.loads(line)
+        out, is_json, matches = one(line)
+        assert is_json and matches and json.loads(out)
+        for rule, original, token, index, length, before, after in matches:
+            raw = line[index : index + length]
+            assert (json.loads(f'"{raw}"') if line[index - 1] == '"' or "\\" in raw else raw) == original or float(raw) == float(original) or original in raw
+            assert line[max(0, index - 8) : index] == before and line[index + length : index + length + 8] == after and token in out
+    marked = {r.line: [x.text for x in r.before_segments if x.changed] for r in R.highlighted(Sanitizer(KEY).transform(spark.createDataFrame([(x,) for x in lines], "line string"))).collect()}
+    assert marked[lines[0]] == ["user", "10.0.0.9"] and marked[lines[1]] == ["4.5"] and lines[1].index("4.5") != 20
+    assert marked[lines[2]] == ["x\\u0040y.com", "10.0.0.1", "10.0.0.2", "-12.250"]
+    rows = R.highlighted(Sanitizer(KEY).transform(spark.createDataFrame([(lines[1],)], "line string"))).first()
+    assert [(x.text, x.changed) for x in rows.before_segments] == [('{"a":4.5,"latitude":', False), ("4.5", True), ("}", False)]
+
+
+def test_numbers_of_json_lines_keep_their_value(spark):
+    lines = ['{"id": 9007199254740993}', '{"a":1e400,"b":1.50,"c":-0,"d":0.1000000000000000055511151231257827,"e":123456789012345678901234567890}']
+    assert outputs(spark, lines) == ['{"id":9007199254740993}', '{"a":1e400,"b":1.5,"c":0,"d":0.1000000000000000055511151231257827,"e":123456789012345678901234567890}']
+    deep = "[" * 3000 + "1" + "]" * 3000
+    assert outputs(spark, [deep]) == [deep]

@@ -149,6 +149,42 @@ def test_lines_are_scanned_once(spark, name):
     assert plan.count("ArrowEvalPython") == (2 if name == "mail_replacements_merged" else 1)
 
 
+def test_filters_on_other_columns_reach_the_files(spark):
+    """Conditions on the result stay above the function, which runs once; all others are pushed to the files."""
+    docs, s = spark.read.parquet(f"{SF}/documents.parquet"), Sanitizer(KEY, rules=["ips"])
+    t = s.transform(docs, "text")
+    frames = [
+        (t.where("doc_id < 10"), True), (t.where("size(redacted.matches) > 0"), False), (t.where("size(redacted.matches) > 0 and doc_id < 10"), True),
+        (t.selectExpr("doc_id", "explode(redacted.matches) as m").where("doc_id < 10 and m.original like '1%'"), True), (t.select("doc_id", "redacted.output", "redacted.is_json").where("doc_id < 10 and is_json"), True),
+        (s.sanitize_stream(docs, "text").where("doc_id < 10 and text like '%a%'"), True), (s.transform_text(docs, "text", ["doc_id"]).where("doc_id < 10"), True),
+    ]
+    for df, pushed in frames:
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("ArrowEvalPython") == 1 and ("LessThan(doc_id,10)" in plan) == pushed
+    assert "redacted" not in s.transform(docs, "text", "text").columns and s.transform(docs, "text", "text").columns == docs.columns
+
+
+@pytest.mark.parametrize("probe", ["password=", "token=", "user=", "api_key: ", "secret='", "host="])
+def test_keys_inside_values_take_linear_time(probe):
+    line, scan = probe * (1_000_000 // len(probe)), Scanner(Sanitizer(KEY, json=False).settings).line
+    began = time.process_time()
+    scan(line)
+    assert time.process_time() - began < 5
+
+
+def test_prefixes_that_are_passed_over_find_nothing(monkeypatch):
+    """With and without the bound on how far a prefix reaches, the same values."""
+    draw = random.Random(8)
+    words = ["password=", "user=", "host=", " ", "\t\t", "x" * 30, "'", '"', "é", "Bearer ", "for user ", "=", ": ", "/home/", "sid=abcdefgh", "CORP\\jdoe", "a.b.com"]
+    scan = Scanner(Sanitizer(KEY, json=False).settings).line
+    for _ in range(80):
+        text = "".join(draw.choices(words, k=draw.randrange(5, 90)))
+        monkeypatch.setattr("veilspark.operators.redact.NEAR", 0)
+        bounded = scan(text)
+        monkeypatch.setattr("veilspark.operators.redact.NEAR", 1 << 30)
+        assert scan(text) == bounded
+
+
 def test_merged_reports_and_highlights(spark):
     s = Sanitizer(KEY, rules=["ips", "users"], context_chars=2)
     lines = [f"row {i} from 10.0.{i % 4}.1 end" for i in range(12)] + ['{"user":"a\\"b","ip":"10.9.9.9","n":1}', "no match"]

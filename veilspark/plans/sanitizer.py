@@ -15,6 +15,7 @@ from ..functions.builtin_rules import BUILTIN
 from ..functions.rules import AllowList, KeyResolver, Rule, always_rule, compiled, resolve_rules, with_patterns
 from ..operators import nested as N
 from ..operators import report as R
+from ..operators.exempt import redact_except
 from ..operators.redact import MAX_LINE_CHARS, OVERLAP_CHARS, Once, Settings, Tokens, once, redact, redacted
 from ..sources import text as T
 from ..sources.bounded import RANGE_BYTES, read_bounded, write_files
@@ -103,6 +104,10 @@ class Sanitizer:
     def transform(self, df: DataFrame, column: str = "line", into: str = "redacted") -> DataFrame:
         return redact(df, column, self.settings, into)
 
+    def transform_except(self, df: DataFrame, exempt: DataFrame, column: str = "line", value: str = "value", into: str = "redacted") -> DataFrame:
+        """As transform(), but values of a table stay: never_values for lists of any size."""
+        return redact_except(df, column, self.settings, exempt, value, into)
+
     def transform_text(self, df: DataFrame, text: str, by: list[str]) -> DataFrame:
         """Rows (by, line_no, line, redacted): each line of a text by itself."""
         return self.transform(T.explode_lines(df.select(*by, text), text), "line")
