@@ -8,8 +8,8 @@ Documents that share a shingle of their prefixes are candidates; from how many t
 follows how many their sets can share at most, and where that is enough their whole sets
 are compared. Links are wanted for components: documents that are linked already are not
 compared again. In rounds, each shared shingle names one of its documents and the others
-not linked to it are compared with that one, until the pairs left are few; those are all
-compared. So a group of thousands of near copies is linked without all its pairs.
+not linked to it are compared with that one, until the pairs left are few or a round links
+little; those are all compared. So a group of thousands of near copies is linked without all its pairs.
 """
 
 from __future__ import annotations
@@ -34,6 +34,12 @@ BUCKET_BITS = 18
 #: Pairs for each row that shares a shingle up to which all pairs are compared, and rounds after which they are in any case.
 PAIRS_A_ROW, ROUNDS = 4, 8
 
+#: Part of the pairs that a round leaves, at least, to be the last one.
+LITTLE = 0.8
+
+#: Documents that the keys of one group name in a round, at most.
+LEADERS = 4
+
 _K, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -133,32 +139,38 @@ def shingle_links(docs: DataFrame, id_col: str, text_col: str, linked: DataFrame
 
     def alike(pairs: DataFrame) -> DataFrame:
         """Pairs whose whole sets are similar. Only documents of pairs have their sets made; which they are is a table, so where they are few Spark sends them to the texts."""
-        pairs = cut(pairs)
+        pairs = cut(pairs.groupBy("a", "b").agg(F.max("root").alias("root"), F.max("of").alias("of")))
         ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
         sets = stored(texts.join(ids, "id", "left_semi").mapInArrow(_whole, "id long, shingles array<long>"))
         a, b = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
         both = F.size(F.array_intersect("x", "y"))
-        return pairs.join(a, "a").join(b, "b").where(both * (num + den) >= (F.size("x") + F.size("y")) * num).select("a", "b")
+        return pairs.join(a, "a").join(b, "b").where(both * (num + den) >= (F.size("x") + F.size("y")) * num).select("a", "b", "root", "of")
 
     found = spark.createDataFrame([], "a long, b long")
-    known = found if linked is None else linked.select("a", "b")
+    label = components(linked.select("a", "b")) if linked is not None else spark.createDataFrame([], "node long, root long")
+    now = shared.join(label.select(F.col("node").alias("id"), "root"), "id", "left").select("key", "id", "n", F.coalesce("root", "id").alias("root"))
+    before = float("inf")
     for turn in range(rounds + 1):
-        label = components(known.union(found)).select(F.col("node").alias("id"), "root")
-        now = shared.join(label, "id", "left").select("key", "id", "n", F.coalesce("root", "id").alias("root"))
-        groups = now.groupBy("key", "root").agg(F.count("*").alias("c"))
-        per_key = groups.groupBy("key").agg((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))).alias("twice"))
-        open_keys = per_key.where("twice > 0")
-        now = cut(now.join(open_keys.select("key"), "key", "left_semi"))
+        groups = now.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key").agg((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))).alias("twice"))
+        open_keys = cut(groups.where("twice > 0"))
         left = (open_keys.agg(F.sum(F.col("twice").cast("double")).alias("t")).first().t or 0) / 2
         if not left:
             break
-        if left <= pairs_a_row * told_rows or turn == rounds:
-            found = found.union(cut(alike(_across(now, num, den))))
+        now = cut(now.join(open_keys.select("key"), "key", "left_semi"))
+        # A round that links little says that the pairs left are unlike: all of them are met, and what their prefixes share rules most of them out.
+        if left <= pairs_a_row * told_rows or turn == rounds or left > LITTLE * before:
+            found = found.union(alike(_across(now, num, den)).select("a", "b"))
             break
-        lead = now.groupBy("key").agg(F.min_by(F.struct("id", "n", "root"), F.xxhash64("id", F.lit(turn))).alias("lead"))
+        before = left
+        # Keys of one group of documents name up to LEADERS of them: each further one halves, or better, what is not linked yet.
+        lead = now.groupBy("key").agg(F.min_by(F.struct("id", "n", "root"), F.xxhash64("id", F.pmod("key", F.lit(LEADERS)), F.lit(turn))).alias("lead"))
         met = now.join(lead, "key").select(F.col("id").alias("a"), "n", "root", F.col("lead.id").alias("b"), F.col("lead.n").alias("m"), F.col("lead.root").alias("of"))
-        found = cut(found.union(alike(met.where((F.col("root") != F.col("of")) & _fits("n", "m", num, den)).select("a", "b").distinct())))
-    return found
+        more = cut(alike(met.where((F.col("root") != F.col("of")) & _fits("n", "m", num, den))))
+        found = found.union(more.select("a", "b"))
+        # Only components that the new links touch are joined, so a round's graph is small.
+        moved = components(more.select(F.col("root").alias("a"), F.col("of").alias("b"))).select(F.col("node").alias("root"), F.col("root").alias("to"))
+        now = now.join(moved, "root", "left").select("key", "id", "n", F.coalesce("to", "root").alias("root"))
+    return cut(found)
 
 
 def _across(now: DataFrame, num: int, den: int) -> DataFrame:
@@ -171,6 +183,6 @@ def _across(now: DataFrame, num: int, den: int) -> DataFrame:
     ways = of.join(of.select("key", F.col("root").alias("to")), "key").where(F.col("root") < F.col("to"))
     met = ways.join(now.select("key", "root", F.col("id").alias("a"), "n"), ["key", "root"])
     met = met.join(now.select("key", F.col("root").alias("to"), F.col("id").alias("b"), F.col("n").alias("m")), ["key", "to"])
-    met = met.where(_fits("n", "m", num, den)).groupBy("a", "b").agg(F.count("*").alias("c"), F.max("n").alias("n"), F.max("m").alias("m"))
+    met = met.where(_fits("n", "m", num, den)).groupBy("a", "b").agg(F.count("*").alias("c"), F.max("n").alias("n"), F.max("m").alias("m"), F.max("root").alias("root"), F.max("to").alias("of"))
     behind = F.call_function("div", F.greatest("n", "m") * num + den - 1, F.lit(den)) - 1
-    return met.where((F.col("c") + behind) * (num + den) >= (F.col("n") + F.col("m")) * num).select("a", "b")
+    return met.where((F.col("c") + behind) * (num + den) >= (F.col("n") + F.col("m")) * num).select("a", "b", "root", "of")
