@@ -91,19 +91,18 @@ def _words_of(text: Column) -> Column:
     return F.btrim(F.regexp_replace(text, WS, " "), F.lit(" "))
 
 
-def line_fails(line: Column, phrases: Column | None = None, separated: Column | None = None, marked: Column | None = None) -> Column:
-    """The verdict on one line with a word. phrases, separated, marked: whether its whole text has any phrase, separator or symbol, for else no line is searched for them."""
-    some = lambda told, verdict: verdict if told is None else told & verdict
+def line_fails(line: Column) -> Column:
+    """The verdict on one line with a word."""
     words = _words_of(line)
     n = F.length(words) - F.length(F.translate(words, " ", "")) + 1
     separators = F.regexp_count(line, F.lit(SEPARATOR_CLASS))
-    navigation = some(separated, (separators >= SEPARATORS) & (n <= WORDS_PER_SEPARATOR * (separators + 1)))
+    navigation = (separators >= SEPARATORS) & (n <= WORDS_PER_SEPARATOR * (separators + 1))
     low = F.lower(line)
-    boilerplate = some(phrases, low.rlike(PHRASES) & (n <= WORDS_PER_PHRASE * F.regexp_count(low, F.lit(PHRASES))))
-    letters, filled = F.length(line) - F.length(F.regexp_replace(line, LETTERS, "")), F.length(words) - n + 1
+    boilerplate = low.rlike(PHRASES) & (n <= WORDS_PER_PHRASE * F.regexp_count(low, F.lit(PHRASES)))
+    letters, filled = F.length(line) - F.length(F.regexp_replace(line, LETTERS, "")), F.length(F.regexp_replace(line, WS, ""))
     punctuation = 2 * letters < filled
     symbols = F.regexp_count(line, F.lit(SYMBOL_CLASS))
-    noisy = some(marked, (symbols >= LEAST_SYMBOLS) & (100 * symbols > SYMBOL_PERCENT * n))
+    noisy = (symbols >= LEAST_SYMBOLS) & (100 * symbols > SYMBOL_PERCENT * n)
     return navigation | boilerplate | punctuation | noisy
 
 
@@ -116,7 +115,7 @@ def quality_rules(docs: DataFrame, text_col: str = "text") -> DataFrame:
     an empty table stays empty; clashing names take underscores.
     """
     names = {c: free_name(docs, c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines_removed", "cleaned_text")}
-    t = {c: free_name(docs, f"__{c}") for c in ("text", "norm", "hashes", "two", "four", "win", "lines", "bad", "pos", "phrases", "separated", "marked")}
+    t = {c: free_name(docs, f"__{c}") for c in ("text", "norm", "hashes", "two", "four", "win", "lines", "bad", "pos")}
     zero = F.lit(0).cast("long")
 
     df = docs.withColumn(t["text"], whole_text(text_col))
@@ -146,10 +145,7 @@ def quality_rules(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     df = df.withColumn(t["lines"], F.split(F.col(t["text"]), "\n"))
     lines = F.filter(F.col(t["lines"]), lambda x: x.rlike(FILLED))
-    text = F.col(t["text"])
-    df = df.withColumns({t["phrases"]: F.lower(text).rlike(PHRASES), t["separated"]: text.rlike(SEPARATOR_CLASS), t["marked"]: text.rlike(SYMBOL_CLASS)})
-    had = [F.col(t[c]) for c in ("phrases", "separated", "marked")]
-    df = df.withColumn(t["bad"], F.transform(F.col(t["lines"]), lambda x: x.rlike(FILLED) & line_fails(x, *had)))
+    df = df.withColumn(t["bad"], F.transform(F.col(t["lines"]), lambda x: x.rlike(FILLED) & line_fails(x)))
     removed = F.aggregate(F.col(t["bad"]), F.lit(0), lambda s, x: s + x.cast("int"))
     kept_lines = F.when(
         F.array_contains(F.col(t["bad"]), True),
