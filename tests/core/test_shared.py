@@ -25,3 +25,27 @@ def test_a_cluster_needs_a_shared_folder():
     at = Off("s3://bucket/x")
     assert shared_dir(at) == "s3://bucket/x" and at.put == ["s3://bucket/x"]
     assert shared_dir(Off(master="local[2]")).startswith("file://")
+
+
+def test_shuffle_files_go_when_their_result_is_written(spark):
+    """They do not wait for the driver's garbage collection, as on a table of many small steps they filled the disk."""
+    import time
+
+    from veilspark.llm._common import stored
+    from veilspark.sources.shared import cut
+
+    def files():
+        found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {name for k in range(found.size()) if (name := found.apply(k).getName()).startswith("shuffle_")}
+
+    kept = []
+    for write in (cut, stored):
+        df = spark.range(1000).groupBy("id").count().repartition(7)
+        before = files()
+        kept += [df, out := write(df)]  # so that nothing of it is garbage
+        end = time.time() + 20
+        while files() - before and time.time() < end:
+            time.sleep(0.2)
+        assert not files() - before
+        assert out.count() == 1000 and df.count() == 1000  # asked again, it shuffles again
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
