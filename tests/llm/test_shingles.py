@@ -91,3 +91,13 @@ def test_sets_of_hashes_have_the_sizes_of_sets_of_words():
     want = [shingles(t) for t in texts]
     assert list(map(len, sets)) == list(map(len, want))
     assert all(len(sets[i] & sets[j]) == len(want[i] & want[j]) for i in range(0, len(texts), 7) for j in range(len(texts)))
+
+
+def test_shared_keys_with_too_little_behind_them_make_no_pair(spark):
+    from veilspark.llm.shingle_links import DEN, NUM, _across
+
+    rows = [(1, 1, 10, 10, 1), (1, 2, 10, 8, 2), (2, 1, 10, 9, 1), (2, 2, 10, 7, 2)]  # 8 are left at most, 9 must be shared
+    rows += [(3, 5, 10, 10, 5), (3, 6, 10, 9, 6), (4, 5, 10, 9, 5), (4, 6, 10, 8, 6)]  # 9 may be shared
+    rows += [(5, 7, 90, 80, 7), (5, 8, 90, 85, 7), (5, 9, 72, 72, 9)]  # of a component of two, each document has its own place
+    now = spark.createDataFrame(rows, "key long, id long, n int, rest int, root long")
+    assert {(r.a, r.b, r.root, r.of) for r in _across(now, NUM, DEN).collect()} == {(5, 6, 5, 6), (7, 9, 7, 9), (8, 9, 7, 9)}

@@ -4,9 +4,9 @@ Two sets of a similarity of `num`/`den` or more share a shingle among the first
 n - ceil(n * num / den) + 1 of either one, in any order that is the same for all. The order
 here puts shingles first whose bucket of hashes has few occurrences in all documents, so a
 passage that very many documents have is in no prefix of a text with enough of its own.
-Documents that share a shingle of their prefixes are candidates; from how many they share
-follows how many their sets can share at most, and where that is enough their whole sets
-are compared. Links are wanted for components: documents that are linked already are not
+Documents that share a shingle of their prefixes are candidates; from how many they share,
+and where in the order, follows how many their sets can share at most, and where that is
+enough their whole sets are compared. Links are wanted for components: documents that are linked already are not
 compared again. In rounds, each shared shingle names one of its documents and the others
 not linked to it are compared with that one, until the pairs left are few or a round links
 little; those are all compared. So a group of thousands of near copies is linked without all its pairs.
@@ -92,7 +92,7 @@ def _loads(batches, bits: int):
 
 
 def _prefixes(batches, told, bits: int, num: int, den: int):
-    """Rows (key, id, n): the rarest shingles of each document, as many as a partner cannot all miss; n: shingles of its set."""
+    """Rows (key, id, n, rest): the rarest shingles of each document, as many as a partner cannot all miss; n: shingles of its set, rest: those from this one on."""
     load = np.frombuffer(told.value, np.int64)
     for part, sets in _sets(batches, 1):
         keys = []
@@ -102,7 +102,9 @@ def _prefixes(batches, told, bits: int, num: int, den: int):
         some = np.fromiter(map(len, keys), np.int64, len(keys))
         n = np.fromiter(map(len, sets), np.int32, len(sets))
         ids = part.column(0).to_numpy()
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.repeat(ids, some)), pa.array(np.repeat(n, some))], names=["key", "id", "n"])
+        sizes = np.repeat(n, some)
+        rest = sizes - (np.arange(len(sizes)) - np.repeat(np.cumsum(some) - some, some)).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.repeat(ids, some)), pa.array(sizes), pa.array(rest)], names=["key", "id", "n", "rest"])
     tidy()
 
 
@@ -131,7 +133,7 @@ def shingle_links(docs: DataFrame, id_col: str, text_col: str, linked: DataFrame
     for r in texts.mapInArrow(functools.partial(_loads, bits=BUCKET_BITS), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toLocalIterator():
         load[r.bucket] = r.n
     told = spark.sparkContext.broadcast(load.tobytes())
-    rows = stored(texts.mapInArrow(functools.partial(_prefixes, told=told, bits=BUCKET_BITS, num=num, den=den), "key long, id long, n int"))
+    rows = stored(texts.mapInArrow(functools.partial(_prefixes, told=told, bits=BUCKET_BITS, num=num, den=den), "key long, id long, n int, rest int"))
     # Most keys are in one document. Both sides of the join are stored, so that Spark can deal out the rows of a key that very many share.
     keys = stored(rows.groupBy("key").count().where("count > 1").select("key"))
     shared = stored(rows.join(keys.hint("shuffle_hash"), "key", "left_semi"))
@@ -148,7 +150,7 @@ def shingle_links(docs: DataFrame, id_col: str, text_col: str, linked: DataFrame
 
     found = spark.createDataFrame([], "a long, b long")
     label = components(linked.select("a", "b")) if linked is not None else spark.createDataFrame([], "node long, root long")
-    now = shared.join(label.select(F.col("node").alias("id"), "root"), "id", "left").select("key", "id", "n", F.coalesce("root", "id").alias("root"))
+    now = shared.join(label.select(F.col("node").alias("id"), "root"), "id", "left").select("key", "id", "n", "rest", F.coalesce("root", "id").alias("root"))
     before = float("inf")
     for turn in range(rounds + 1):
         groups = now.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key").agg((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))).alias("twice"))
@@ -169,20 +171,23 @@ def shingle_links(docs: DataFrame, id_col: str, text_col: str, linked: DataFrame
         found = found.union(more.select("a", "b"))
         # Only components that the new links touch are joined, so a round's graph is small.
         moved = components(more.select(F.col("root").alias("a"), F.col("of").alias("b"))).select(F.col("node").alias("root"), F.col("root").alias("to"))
-        now = now.join(moved, "root", "left").select("key", "id", "n", F.coalesce("to", "root").alias("root"))
+        now = now.join(moved, "root", "left").select("key", "id", "n", "rest", F.coalesce("to", "root").alias("root"))
     return cut(found)
 
 
 def _across(now: DataFrame, num: int, den: int) -> DataFrame:
     """Distinct pairs of documents that share keys and are not linked: from pairs of components, so that no pair within one is made.
 
-    Of two prefixes one ends first; behind its end its set has about num of den parts left
-    to share, ahead of it only keys of both. So the shared keys bound what the sets share.
+    Two sets so similar share `least` shingles; the first that they share has as many from
+    it on in either set. So a shared key with fewer from it on says nothing of a pair. Those
+    with enough are the first ones that the sets share, and behind the last of them both
+    sets can share no more than the shorter rest: that bounds what they share in all.
     """
     of = now.select("key", "root").distinct()
     ways = of.join(of.select("key", F.col("root").alias("to")), "key").where(F.col("root") < F.col("to"))
-    met = ways.join(now.select("key", "root", F.col("id").alias("a"), "n"), ["key", "root"])
-    met = met.join(now.select("key", F.col("root").alias("to"), F.col("id").alias("b"), F.col("n").alias("m")), ["key", "to"])
-    met = met.where(_fits("n", "m", num, den)).groupBy("a", "b").agg(F.count("*").alias("c"), F.max("n").alias("n"), F.max("m").alias("m"), F.max("root").alias("root"), F.max("to").alias("of"))
-    behind = F.call_function("div", F.greatest("n", "m") * num + den - 1, F.lit(den)) - 1
-    return met.where((F.col("c") + behind) * (num + den) >= (F.col("n") + F.col("m")) * num).select("a", "b", "root", "of")
+    met = ways.join(now.select("key", "root", F.col("id").alias("a"), "n", "rest"), ["key", "root"])
+    met = met.join(now.select("key", F.col("root").alias("to"), F.col("id").alias("b"), F.col("n").alias("m"), F.col("rest").alias("left")), ["key", "to"])
+    least = (F.col("n") + F.col("m")) * num  # shingles shared at least, times num + den
+    met = met.where(_fits("n", "m", num, den) & (F.least("rest", "left") * (num + den) >= least))
+    met = met.groupBy("a", "b").agg(F.count("*").alias("c"), F.min(F.least("rest", "left")).alias("behind"), F.max("n").alias("n"), F.max("m").alias("m"), F.max("root").alias("root"), F.max("to").alias("of"))
+    return met.where((F.col("c") + F.col("behind") - 1) * (num + den) >= least).select("a", "b", "root", "of")
