@@ -183,11 +183,14 @@ def _across(now: DataFrame, num: int, den: int) -> DataFrame:
     with enough are the first ones that the sets share, and behind the last of them both
     sets can share no more than the shorter rest: that bounds what they share in all.
     """
-    of = now.select("key", "root").distinct()
-    ways = of.join(of.select("key", F.col("root").alias("to")), "key").where(F.col("root") < F.col("to"))
-    met = ways.join(now.select("key", "root", F.col("id").alias("a"), "n", "rest"), ["key", "root"])
+    least = lambda n, m: (F.col(n) + F.col(m)) * num  # noqa: E731  shingles shared at least, times num + den
+    enough = lambda n, m, rest, left: F.least(rest, left) * (num + den) >= least(n, m)
+    # The most that is left, and the smallest set, of a component's documents at a key: what they rule out, none of its documents needs to meet.
+    of = now.groupBy("key", "root").agg(F.min("n").alias("n0"), F.max("rest").alias("rest0"))
+    ways = of.join(of.select("key", F.col("root").alias("to"), F.col("n0").alias("m0"), F.col("rest0").alias("left0")), "key")
+    ways = ways.where((F.col("root") < F.col("to")) & enough("n0", "m0", "rest0", "left0")).select("key", "root", "to", "m0", "left0")
+    met = ways.join(now.select("key", "root", F.col("id").alias("a"), "n", "rest"), ["key", "root"]).where(enough("n", "m0", "rest", "left0")).drop("m0", "left0")
     met = met.join(now.select("key", F.col("root").alias("to"), F.col("id").alias("b"), F.col("n").alias("m"), F.col("rest").alias("left")), ["key", "to"])
-    least = (F.col("n") + F.col("m")) * num  # shingles shared at least, times num + den
-    met = met.where(_fits("n", "m", num, den) & (F.least("rest", "left") * (num + den) >= least))
+    met = met.where(_fits("n", "m", num, den) & enough("n", "m", "rest", "left"))
     met = met.groupBy("a", "b").agg(F.count("*").alias("c"), F.min(F.least("rest", "left")).alias("behind"), F.max("n").alias("n"), F.max("m").alias("m"), F.max("root").alias("root"), F.max("to").alias("of"))
-    return met.where((F.col("c") + F.col("behind") - 1) * (num + den) >= least).select("a", "b", "root", "of")
+    return met.where((F.col("c") + F.col("behind") - 1) * (num + den) >= least("n", "m")).select("a", "b", "root", "of")
